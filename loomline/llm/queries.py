@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, mixing, quality, urls
+from loomline.llm import bpe, classifier, mixing, quality, secrets, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,11 +32,29 @@ def op1_quality_rules(spark, sf_dir):
     return quality.clean_lines(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "lost_words", "base_failed", "kept")
 
 
+@_query()
+def op2_token_files(spark, sf_dir):
+    return token_files.write_tokens(_documents(spark, sf_dir)).documents()
+
+
+@_query()
+def op5_quality_classifier(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = classifier.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query()
 def op6_byte_bpe(spark, sf_dir):
     return bpe.digests(_documents(spark, sf_dir))
 
 
+@_query()
+def op7_secret_scan(spark, sf_dir):
+    return secrets.secret_spans(_documents(spark, sf_dir))
+
+
 @_query(mixing.SQL)
 def op8_mix_sources(spark, sf_dir):
     return mixing.Mix(_documents(spark, sf_dir)).report().withColumnRenamed("_id", "doc_id")
