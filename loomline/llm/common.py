@@ -59,7 +59,7 @@ def parts_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
 
     Uses the optimizer's estimate from the files' sizes; no job runs.
     """
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(estimate // bytes_each, 200_000))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, classifier, mixing, quality, secrets, token_files, urls
+from loomline.llm import bpe, classifier, mixing, ngram_join, quality, secrets, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op2_token_files(spark, sf_dir):
     return token_files.write_tokens(_documents(spark, sf_dir)).documents()
 
 
+@_query(ngram_join.SQL)
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.near_components(_documents(spark, sf_dir)).withColumnRenamed("_id", "doc_id")
+
+
 @_query()
 def op5_quality_classifier(spark, sf_dir):
     docs = _documents(spark, sf_dir)

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 20_000
+MOST_RULES = 2_000
 TOKEN_GAP = "[^a-z0-9]+"
 
 
@@ -101,10 +101,15 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = HOS
     held = held.select("_url", F.concat("_host", "_path").alias("_at"))
     tokens = held.select("_url", "_at", F.explode(F.array_distinct(F.split(F.concat_ws("/", F.lit(""), F.lower("_at"), F.lit("")), TOKEN_GAP))).alias("_token"))
 
-    table = spark.createDataFrame(
-        [(i, r.pattern, r.verdict, r.rank, r.name, list(r.tokens) or [""]) for i, r in enumerate(rules)],
-        "_id int, _pattern string, _verdict string, _rank int, _name string, _tokens array<string>",
-    )
+    nothing = F.lit(None).cast("string")
+    told = [
+        F.struct(
+            F.lit(i).alias("_id"), F.lit(r.pattern).alias("_pattern"), F.lit(r.verdict).alias("_verdict"), F.lit(r.rank).alias("_rank"),
+            (nothing if r.name is None else F.lit(r.name)).alias("_name"), F.array(*(F.lit(t) for t in r.tokens or ("",))).alias("_tokens"),
+        )
+        for i, r in enumerate(rules)
+    ]
+    table = spark.range(1).select(F.inline(F.array(*told)))
     needed = table.select("_id", F.explode("_tokens").alias("_token"))
     counts = tokens.join(F.broadcast(needed.select("_token").distinct()), "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("_n"))
     # at most as many rows as the rules have tokens
