@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, classifier, mixing, ngram_join, quality, secrets, token_files, urls
+from loomline.llm import bpe, classifier, fingerprints, mixing, ngram_join, quality, secrets, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,11 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.Mix(_documents(spark, sf_dir)).report().withColumnRenamed("_id", "doc_id")
 
 
+@_query()
+def op9_document_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
+
+
 @_query(urls.SQL)
 def op10_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
