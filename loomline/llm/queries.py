@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, classifier, fingerprints, mixing, ngram_join, quality, secrets, token_files, urls
+from loomline.llm import bpe, classifier, fingerprints, line_dedup, mixing, ngram_join, quality, secrets, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,14 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.near_components(_documents(spark, sf_dir)).withColumnRenamed("_id", "doc_id")
 
 
+@_query()
+def op4_line_dedup(spark, sf_dir):
+    """Each document with what its lines became: the numbers of removed lines and a SHA-256 of the text left."""
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    gone = F.coalesce(F.size("removed_lines"), F.lit(0))
+    return out.select("doc_id", gone.cast("long").alias("n_removed"), F.coalesce(F.array_join("removed_lines", ","), F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 @_query()
 def op5_quality_classifier(spark, sf_dir):
     docs = _documents(spark, sf_dir)
