@@ -68,15 +68,21 @@ def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.column_stack([sums[0].view(np.int64), sums[1].view(np.int64), np.diff(bounds)])
 
 
+def _owners(signatures: np.ndarray) -> np.ndarray:
+    """A class in 16 bytes: 64 bits of the signature, then 32 more and the size."""
+    low = signatures[:, 1].view(np.uint64) << np.uint64(32) | signatures[:, 2].astype(np.uint64)
+    return np.column_stack([signatures[:, 0], low.view(np.int64)])
+
+
 def document_sets(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """(_id, hi, lo, n): each row's id, the signature of its set, and the set's size."""
+    """(_id, hi, lo, n): each row's id, its class, and its set's size (which lo holds as well)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t"))
 
     def run(batches):
         for batch in batches:
             found = [_signatures(h, bounds) for _, h, _, bounds in _sets(batch.column(1), size)]
             s = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, i]) for i in range(3))], names=["_id", "hi", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (*_owners(s).T, s[:, 2]))], names=["_id", "hi", "lo", "n"])
 
     return rows.mapInArrow(run, "_id long, hi long, lo long, n long")
 
@@ -89,7 +95,8 @@ def _send(docs: DataFrame, text: str, size: int, parts: int) -> DataFrame:
             nonlocal held, base
             if held:
                 table, place = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
-                t, o = np.concatenate(tokens), place.ravel()[np.concatenate(owners)]
+                t, o = np.concatenate(tokens), place.ravel().astype(np.int32)[np.concatenate(owners)]
+                tokens.clear(), owners.clear()
                 found = list(cells(t, o, table, parts))
                 for at in range(0, len(found), 64):
                     p, c = zip(*found[at : at + 64])
@@ -100,8 +107,8 @@ def _send(docs: DataFrame, text: str, size: int, parts: int) -> DataFrame:
         for batch in batches:
             for _, hashes, rows, bounds in _sets(batch.column(0), size):
                 tokens.append(hashes)
-                owners.append(rows + base)
-                tables.append(_signatures(hashes, bounds))
+                owners.append((rows + base).astype(np.int32))
+                tables.append(_owners(_signatures(hashes, bounds)))
                 held, base = held + len(hashes), base + len(bounds) - 1
                 if held >= CHUNK:
                     yield from flush()
@@ -110,47 +117,56 @@ def _send(docs: DataFrame, text: str, size: int, parts: int) -> DataFrame:
     return docs.select(F.col(text).alias("_t")).mapInArrow(run, "part int, cell binary")
 
 
-def _answer(batches):
-    """Of a task's ranges, each class with its shingles that other classes hold as well."""
-    received = [cell for batch in batches for cell in batch.column(1).to_pylist()]
-    table, token, owner, count = shared(received)
-    del received
-    order = np.argsort(owner, kind="stable")
-    token, owner, count = token[order], owner[order], count[order].astype(np.int64)
-    present, first = np.unique(owner, return_index=True)
-    ends = np.append(first[1:], len(token))
-    for at in range(0, len(present), 4096):
-        s = slice(at, at + 4096)
-        spans = list(zip(first[s].tolist(), ends[s].tolist()))
-        own = table[present[s]]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(own[:, i]) for i in range(3)), pa.array([token[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([count[a:z].tobytes() for a, z in spans], pa.binary())],
-            names=["hi", "lo", "n", "tokens", "counts"],
-        )
+def _answer(parts: int):
+    """Of a task's ranges, each class's shingles that other classes hold as well: a cell of them for each of ``parts`` ranges of classes."""
+
+    def run(batches):
+        received = [cell for batch in batches for cell in batch.column(1).to_pylist()]
+        table, token, owner, count = shared(received)
+        del received
+        order = np.argsort(owner, kind="stable")
+        token, owner, count = token[order], owner[order], count[order].astype(np.uint32)
+        present, first = np.unique(owner, return_index=True)
+        lengths = np.diff(np.append(first, len(token)))
+        to = (table[present, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # the table is sorted by signed numbers
+        for p in np.unique(to).tolist():
+            mine = to == p
+            those = np.repeat(mine, lengths)
+            head = np.array([mine.sum(), those.sum()], np.int64)
+            cell = b"".join(x.tobytes() for x in (head, table[present[mine]], lengths[mine], token[those], count[those]))
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([cell], pa.binary())], names=["part", "cell"])
+
+    return run
+
+
+def _read_answer(cell: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, k = np.frombuffer(cell, np.int64, 2)
+    bounds = np.cumsum([16, 16 * n, 8 * n, 8 * k])
+    kinds = (np.int64, 2 * n), (np.int64, n), (np.uint64, k), (np.uint32, k)
+    table, lengths, token, count = (np.frombuffer(cell, kind, int(size), int(at)) for (kind, size), at in zip(kinds, bounds))
+    return table.reshape(-1, 2), lengths, token, count
 
 
 def _order(percent: int):
     """Put a class's shared shingles together, rare first; keep classes that have some within their prefix."""
 
     def run(batches):
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        cells_ = [_read_answer(cell) for batch in batches for cell in batch.column(1).to_pylist()]
+        if not cells_:
             return
-        own = np.column_stack([table[c].to_numpy() for c in ("hi", "lo", "n")])
-        tokens, counts = table["tokens"].to_pylist(), table["counts"].to_pylist()
-        classes, place = np.unique(own, axis=0, return_inverse=True)
-        owner = np.repeat(place.ravel(), [len(t) // 8 for t in tokens])
-        token, count = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(counts), np.int64)
-        order = np.lexsort((token, count, owner))
-        token, owner = token[order], owner[order]
+        tables, lengths, tokens, counts = (np.concatenate(x) for x in zip(*cells_))
+        classes, place = np.unique(tables, axis=0, return_inverse=True)
+        owner = np.repeat(place.ravel(), lengths)
+        order = np.lexsort((tokens, counts, owner))
+        token, owner = tokens[order], owner[order]
         bounds = np.searchsorted(owner, np.arange(len(classes) + 1))
-        n, m = classes[:, 2], np.diff(bounds)
+        n, m = classes[:, 1] & 0xFFFFFFFF, np.diff(bounds)
         posted = n + (-percent * n) // 100 + 1 - (n - m)  # the prefix less the shingles of frequency one
         kept = np.flatnonzero(posted > 0)
         for at in range(0, len(kept), 1024):
             k = kept[at : at + 1024]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(classes[k, i]) for i in range(3)), pa.array(posted[k]), pa.array([token[bounds[i] : bounds[i + 1]].tobytes() for i in k], pa.binary())],
+                [*(pa.array(x) for x in (classes[k, 0], classes[k, 1], n[k], posted[k])), pa.array([token[bounds[i] : bounds[i + 1]].tobytes() for i in k], pa.binary())],
                 names=["hi", "lo", "n", "posted", "tokens"],
             )
 
@@ -204,13 +220,13 @@ def _verify(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row for each row of ``docs``: _id, n_shingles, component_id (the smallest id reachable by links)."""
-    space, parts = Workspace(docs.sparkSession, "ngrams"), parts_for(docs.select(text))
+    space, parts = Workspace(docs.sparkSession, "ngrams"), parts_for(docs, text)
     sets = space.table("sets", document_sets(docs, doc_id, text, size))
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("rep"))
 
-    sent = _send(docs, text, size, parts).repartition(parts, "part")
-    answered = sent.mapInArrow(_answer, "hi long, lo long, n long, tokens binary, counts binary")
-    ordered = answered.repartition(parts, "hi", "lo").mapInArrow(_order(percent), "hi long, lo long, n long, posted long, tokens binary")
+    sent = _send(docs, text, size, parts).repartitionById(parts, F.col("part"))
+    answered = sent.mapInArrow(_answer(parts), "part int, cell binary").repartitionById(parts, F.col("part"))
+    ordered = answered.mapInArrow(_order(percent), "hi long, lo long, n long, posted long, tokens binary")
     ordered = space.table("ordered", ordered.join(classes.where("rep is not null"), ["hi", "lo"]).select("rep", "n", "posted", "tokens"))
     posted = ordered.mapInArrow(_post, _POSTING)
     held = posted.groupBy("token").agg(F.count("*").alias("_k")).where("_k > 1").select("token")

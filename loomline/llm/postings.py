@@ -31,7 +31,7 @@ def unpack(cell: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at += m * width * 8
     planes = np.frombuffer(cell, np.uint8, 8 * n, at).reshape(8, n)
     owners = np.frombuffer(cell, np.uint16 if kind == 2 else np.uint32, n, at + 8 * n)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel(), owners.astype(np.int64), table
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel(), owners, table
 
 
 def cells(tokens: np.ndarray, owners: np.ndarray, table: np.ndarray, parts: int):
@@ -53,14 +53,15 @@ def shared(received: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     for cell in received:
         t, o, table = unpack(cell)
         tokens.append(t)
-        owners.append(o + base)
+        owners.append(o.astype(np.int32) + np.int32(base))
         tables.append(table)
         base += len(table)
     if not tokens:
         none = np.zeros(0, np.int64)
         return np.zeros((0, 1), np.int64), np.zeros(0, np.uint64), none, none
     table, place = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
-    token, owner = np.concatenate(tokens), place.ravel()[np.concatenate(owners)]
+    token, owner = np.concatenate(tokens), place.ravel().astype(np.int32)[np.concatenate(owners)]
+    tokens.clear(), owners.clear()
     order = np.lexsort((owner, token))
     token, owner = token[order], owner[order]
     new = np.ones(len(token), bool)
