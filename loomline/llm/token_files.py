@@ -4,8 +4,8 @@ A corpus is written in ascending order of its ids, each part of the order as
 
 * ``part-N.arrow``: the ids of its documents, one after another (each with the
   end id), cut to sequences of equal length. Columns ``input_ids``
-  (fixed-size list of uint32) and ``mask`` (fixed-size list of uint8: 1, and 0 in
-  the padding of a part's last sequence). Every batch but the last holds
+  (fixed-size list of uint16, or of uint32 for larger vocabularies) and ``mask``
+  (fixed-size list of bool: false in the padding of a part's last sequence). Every batch but the last holds
   ``BATCH`` sequences, so that batch k starts a constant number of bytes after
   batch k-1, and a mapped file gives sequence i without reading or copying others.
 * ``part-N.index.arrow``: doc_id, offset (of its first id in the part), n_tokens.
@@ -42,8 +42,8 @@ from loomline.llm.common import shared_folder
 SEQUENCE = 2048
 BATCH = 64
 END_ID = 2
-#: Entries of a worker's memory of pieces already encoded; beyond them it starts anew.
-MEMORY = 400_000
+#: Pieces whose ids a worker remembers: the first ones met, so that frequent ones are among them.
+MEMORY = 1_000_000
 
 
 class Encoder:
@@ -81,8 +81,6 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         split = [t.split(" ") for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
         new = set(itertools.chain.from_iterable(split)).difference(self.known)
         safe = [p for p in new if p and not (p[0].isspace() or p[-1].isspace())]
         self.known.update(dict.fromkeys(new.difference(safe)))
@@ -90,12 +88,15 @@ class Encoder:
             self.learn(safe[at : at + 4096])
         get, out = self.known.__getitem__, []
         for text, pieces in zip(texts, split):
-            parts = list(map(get, pieces))
-            if None in parts:
+            try:
+                if get(pieces[0]) is None:
+                    raise TypeError
+                out.append(self.whole(pieces[0]) + b"".join(map(get, pieces[1:])))
+            except TypeError:  # a piece that isn't safe
                 out.append(self.whole(text))
-            else:
-                parts[0] = self.whole(pieces[0])
-                out.append(b"".join(parts))
+        if len(self.known) > MEMORY:
+            for p in new:
+                del self.known[p]
         return out
 
 
@@ -108,10 +109,11 @@ def encoder(path: str) -> Encoder:
 class _Sequences:
     """Writes one part: fills sequences, keeps the index."""
 
-    def __init__(self, store: fs.FileSystem, path: str, length: int):
+    def __init__(self, store: fs.FileSystem, path: str, length: int, wide: bool):
         self.store, self.path, self.length = store, path, length
+        self.kind = np.uint32 if wide else np.uint16
         self.own = f"{path}.{uuid.uuid4().hex}"
-        lists = pa.list_(pa.uint32(), length), pa.list_(pa.uint8(), length)
+        lists = pa.list_(pa.from_numpy_dtype(self.kind), length), pa.list_(pa.bool_(), length)
         self.schema = pa.schema([pa.field("input_ids", lists[0], False), pa.field("mask", lists[1], False)])
         self.file = store.open_output_stream(self.own)
         self.writer = pa.ipc.new_stream(self.file, self.schema)
@@ -134,9 +136,9 @@ class _Sequences:
             part = data[at : at + step]
             if len(part) < step and not last:
                 break
-            used = np.ones(-(-len(part) // self.length) * self.length, np.uint8)
-            used[len(part) :] = 0
-            values = np.zeros(len(used), np.uint32)
+            used = np.ones(-(-len(part) // self.length) * self.length, bool)
+            used[len(part) :] = False
+            values = np.zeros(len(used), self.kind)
             values[: len(part)] = part
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (values, used)]
             self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
@@ -225,7 +227,7 @@ def write_tokens(docs: DataFrame, root: str | None = None, doc_id: str = "doc_id
             if out is None:
                 store, inner = fs.FileSystem.from_uri(root)
                 store.create_dir(inner)
-                out = _Sequences(store, f"{inner}/part-{part:06d}", length)
+                out = _Sequences(store, f"{inner}/part-{part:06d}", length, max(len(enc.opens), end_id + 1) > 1 << 16)
             for at in range(0, batch.num_rows, 512):
                 texts = [x or "" for x in batch.column(1).slice(at, 512).to_pylist()]
                 for i, ids in zip(batch.column(0).slice(at, 512).to_pylist(), enc.encode(texts)):
