@@ -201,6 +201,60 @@ def _brute_lines(texts):
     return {i: sorted(x) for i, x in gone.items()}
 
 
+def _linked_lines(texts, percent=80):
+    """Removed lines by the edit similarity of all pairs of lines alone."""
+    first, places = {}, {}
+    for i, t in enumerate(texts):
+        for n, x in enumerate(t.split("\n")):
+            if form := line_dedup.normal(x):
+                places.setdefault(form, []).append((i, n))
+                first.setdefault(form, (i, n))
+    root = {f: f for f in first}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in itertools.combinations(first, 2):
+        if line_dedup.near(a, b, percent):
+            a, b = sorted((find(a), find(b)), key=first.get)
+            root[b] = a
+    gone = {}
+    for form, at in places.items():
+        for i, n in at:
+            if (i, n) != first[find(form)]:
+                gone.setdefault(i, []).append(n)
+    return {i: sorted(x) for i, x in gone.items()}
+
+
+def _edited_lines(lengths):
+    """Texts of three lines each: common and rare words, and copies with as many edits as still link, or one more."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghij"))
+    word = lambda: "".join(rng.choice(letters, 5)) if rng.random() < 0.5 else ("the", "of", "and", "to")[rng.integers(4)]
+    texts = []
+    for n in lengths:
+        for more in (0, 0, 0, 1):
+            line = [word() for _ in range(n)]
+            other = list(line)
+            for _ in range(n // 5 + more):
+                at, kind = int(rng.integers(len(other))), rng.integers(3)
+                other[at : at + (kind < 2)] = ["".join(rng.choice(letters, 6))] if kind != 1 else []
+            texts.append("\n".join(" ".join(x) for x in (line, [word() for _ in range(int(rng.integers(3, 9)))], other)))
+    return texts
+
+
+def test_line_dedup_edit_similarity(spark):
+    """Lines of eight words and more link by their edit similarity, however many words they have."""
+    texts = _edited_lines((8, 9, 10, 14, 20, 25, 33, 60, 100, 250))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, want = by_id(line_dedup.dedup_lines(df)), _linked_lines(texts)
+    assert sum(map(len, want.values())) >= 30
+    for i in range(len(texts)):
+        assert (got[i].removed_lines or []) == want.get(i, [])
+
+
 def test_line_dedup_cases(odd, spark):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == len(TEXTS) + 2
