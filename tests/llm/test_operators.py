@@ -255,6 +255,16 @@ def test_line_dedup_edit_similarity(spark):
         assert (got[i].removed_lines or []) == want.get(i, [])
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of four to seven words link as well."""
+    texts = _edited_lines((4, 5, 6, 7)) + ["one two three four", "one two three four five", "six seven eight nine ten", "six seven extra nine ten"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, want = by_id(line_dedup.dedup_lines(df)), _linked_lines(texts)
+    assert want[17] == [0] and want[19] == [0]
+    for i in range(len(texts)):
+        assert (got[i].removed_lines or []) == want.get(i, [])
+
+
 def test_line_dedup_cases(odd, spark):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == len(TEXTS) + 2
