@@ -65,25 +65,36 @@ _GRID = f"""m as ({_METERS}), n as (select *, greatest(1, least(n_frames, 60, fl
 gr as (select clip, duration, fps, n_frames, case when n = 1 then [0] else list_sort(list_distinct(list_transform(range(n), lambda i: round_even(i * (n_frames - 1) / (n - 1)::double, 0)::int))) end as indices, n = 60 as cap_bound from n)"""
 
 
-def _meters(spark, sf_dir) -> DataFrame:
+def _meters(spark, sf_dir, every: int = 7) -> DataFrame:
+    """every: 1 for all orders; the SQL of the queries of the same names without ``_all`` holds one in seven."""
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(k % 7 == 0).select(k.alias("clip"), (k % 240 + 1).cast("double").alias("duration"), (k % 5400 + 1).cast("int").alias("n_frames"), (k % 30 + 1).cast("double").alias("fps"))
+    return table(spark, sf_dir, "orders").where(k % every == 0).select(k.alias("clip"), (k % 240 + 1).cast("double").alias("duration"), (k % 5400 + 1).cast("int").alias("n_frames"), (k % 30 + 1).cast("double").alias("fps"))
 
 
-def _grid(spark, sf_dir) -> DataFrame:
-    m = _meters(spark, sf_dir)
+def _grid(spark, sf_dir, every: int = 7) -> DataFrame:
+    m = _meters(spark, sf_dir, every)
     return m.withColumn("grid", frames.frame_grid(F.col("duration"), F.col("n_frames"), F.col("fps"), 60)).select(*m.columns, "grid.indices", "grid.cap_bound")
 
 
 @query("frame_grid", f"with {_GRID} select clip, cap_bound, len(indices) as n, list_sum(indices)::bigint as total, array_to_string(indices, ',') as indices from gr")
-def frame_grid(spark, sf_dir):
+def frame_grid(spark, sf_dir, every: int = 7):
     total = F.aggregate("indices", F.lit(0).cast("long"), lambda s, x: s + x)
-    return _grid(spark, sf_dir).select("clip", "cap_bound", F.size("indices").cast("long").alias("n"), total.alias("total"), F.array_join("indices", ",").alias("indices"))
+    return _grid(spark, sf_dir, every).select("clip", "cap_bound", F.size("indices").cast("long").alias("n"), total.alias("total"), F.array_join("indices", ",").alias("indices"))
+
+
+@query("frame_grid_all")
+def frame_grid_all(spark, sf_dir):
+    return frame_grid(spark, sf_dir, 1)
 
 
 @query("keyframes", f"with {_GRID} select clip, array_to_string(list_filter(indices, lambda x, i: (i - 1) % 8 = 0), ',') as keyframes from gr")
-def keyframes(spark, sf_dir):
-    return _grid(spark, sf_dir).select("clip", F.array_join(frames.keyframes(F.col("indices"), 8), ",").alias("keyframes"))
+def keyframes(spark, sf_dir, every: int = 7):
+    return _grid(spark, sf_dir, every).select("clip", F.array_join(frames.keyframes(F.col("indices"), 8), ",").alias("keyframes"))
+
+
+@query("keyframes_all")
+def keyframes_all(spark, sf_dir):
+    return keyframes(spark, sf_dir, 1)
 
 
 @query("chunks", f"""with {_GRID},
@@ -97,13 +108,27 @@ def chunks(spark, sf_dir):
     return out.select("clip", "chunk_id", F.array_join("chunk_indices", ",").alias("chunk"), F.col("overlap_with_previous").alias("overlap"))
 
 
+@query("chunks_all")
+def chunks_all(spark, sf_dir):
+    """Chunks of all orders' clips. Chunks of one frame have no overlap."""
+    d = _grid(spark, sf_dir, 1)
+    length = frames.chunk_length(F.size("indices"), 20, F.col("duration"), 30.0)
+    out = frames.chunks(d, "indices", 20, F.least(F.lit(1), length - 1), "duration", 30.0)
+    return out.select("clip", "chunk_id", F.array_join("chunk_indices", ",").alias("chunk"), F.col("overlap_with_previous").alias("overlap"))
+
+
 @query("gold_select", f"""with m as ({_METERS}), n as (select *, greatest(1, least(3, floor(duration / 2.0)::int + 1)) as n, greatest(1, floor(duration * fps)::int) - 1 as last from m)
 select clip, unnest(list_sort(list_distinct(list_transform(range(n), lambda i: least(last, round_even((i + 1) / (n + 1)::double * last, 0)::int))))) as frame from n""")
-def gold_select(spark, sf_dir):
-    m = _meters(spark, sf_dir)
+def gold_select(spark, sf_dir, every: int = 7):
+    m = _meters(spark, sf_dir, every)
     return m.select("clip", F.explode(frames.gold_frames(F.col("duration"), F.col("fps"))).alias("frame"))
 
 
+@query("gold_select_all")
+def gold_select_all(spark, sf_dir):
+    return gold_select(spark, sf_dir, 1)
+
+
 @query("shard_clips", "select s_suppkey as clip from (select s_suppkey, row_number() over (order by s_suppkey) - 1 as r from supplier) where r % 4 = 1")
 def shard_clips(spark, sf_dir):
     return frames.shard(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip")), "clip", 1, 4)
@@ -111,14 +136,19 @@ def shard_clips(spark, sf_dir):
 
 @query("clip_costs", f"""with m as ({_METERS}) select clip, floor(floor(duration * fps) / 8)::int as keyframes, greatest(1, ceil(duration / 30), ceil(floor(duration * fps) / 300))::int as chunks,
   round(floor(floor(duration * fps) / 8) * (0.03 + 5 * 0.31), 6) as seconds, (power(floor(448 / 28), 2) * least(n_frames, 16))::bigint as tokens from m""")
-def clip_costs(spark, sf_dir):
+def clip_costs(spark, sf_dir, every: int = 7):
     from loomline.operators.labels import prompt_seconds
 
-    m = _meters(spark, sf_dir)
+    m = _meters(spark, sf_dir, every)
     k = frames.expected_keyframes(F.col("duration"), F.col("fps"), 8)
     return m.select("clip", k.alias("keyframes"), frames.min_chunks(F.col("duration"), F.col("fps"), 300).alias("chunks"), F.round(prompt_seconds(F.lit(5), k), 6).alias("seconds"), frames.vision_tokens(F.lit(448), F.least("n_frames", F.lit(16))).alias("tokens"))
 
 
+@query("clip_costs_all")
+def clip_costs_all(spark, sf_dir):
+    return clip_costs(spark, sf_dir, 1)
+
+
 # --- labels of clips ----------------------------------------------------------------------
 
 _VOCABULARY = "['click', 'error', 'purchase', 'signup', 'view']"

@@ -168,6 +168,23 @@ def _plain(v):
     return v
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_all_orders_are_clips(spark):
+    """The queries over all orders: every clip, and every frame of its grid in its chunks."""
+    orders = {r[0] for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()}
+    run = lambda name: registry.QUERIES[name](spark, DATA).collect()
+    grid = {r.clip: r.indices.split(",") for r in run("frame_grid_all")}
+    assert set(grid) == orders
+    for name in ("keyframes_all", "gold_select_all", "clip_costs_all"):
+        assert {r.clip for r in run(name)} == orders
+    parts, single = {}, 0
+    for r in sorted(run("chunks_all")):
+        chunk = r.chunk.split(",")
+        single += len(chunk) == 1
+        parts.setdefault(r.clip, []).extend(chunk[r.overlap :])
+    assert parts == grid and single
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_against_sql(spark, name):
