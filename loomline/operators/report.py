@@ -49,19 +49,4 @@ def compare(a: DataFrame, b: DataFrame, gts: DataFrame) -> DataFrame:
     for name, preds in (("a", a), ("b", b)):
         s = _rows(preds, gts).groupBy("sess").agg(F.count_if("is_tp").alias(f"t{name}"), F.count("*").alias(f"n{name}"))
         per = s if per is None else per.join(s, "sess", "full")
-    per = per.na.fill(0).withColumn("_at", F.dense_rank().over(_by_session()) - 1)  # a row for each session
-    n = per.count()
-    masks = statistics.swap_masks(n)
-    table = F.broadcast(a.sparkSession.createDataFrame([(i, m) for i, m in enumerate(masks)], "i int, mask long"))
-    both = per.crossJoin(table).withColumn("_swap", F.expr("shiftright(mask, cast(_at as int)) & 1") == 1)
-    pick = lambda x, y: F.sum(F.when(F.col("_swap"), F.col(y)).otherwise(F.col(x)))
-    d = both.groupBy("i").agg((F.try_divide(pick("ta", "tb"), pick("na", "nb")) - F.try_divide(pick("tb", "ta"), pick("nb", "na"))).alias("d"))
-    seen = per.agg((F.try_divide(F.sum("ta"), F.sum("na")) - F.try_divide(F.sum("tb"), F.sum("nb"))).alias("diff"))
-    out = d.crossJoin(F.broadcast(seen)).groupBy("diff").agg(F.count_if(F.round(F.abs("d"), 12) >= F.round(F.abs("diff"), 12)).alias("_k"), F.count("*").alias("n_perm"))
-    return out.select("diff", ((1 + F.col("_k")) / (1 + F.col("n_perm"))).alias("p_value"), "n_perm")
-
-
-def _by_session():
-    from pyspark.sql import Window
-
-    return Window.orderBy("sess")
+    return statistics.paired_permutation(per.na.fill(0), "sess")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Weight tables of more rows are joined, not broadcast.
@@ -63,6 +63,23 @@ def swap_masks(n_units: int, most_exact: int = 14, n_random: int = 10_000, seed:
     return [rng.getrandbits(n_units) for _ in range(n_random)]
 
 
+def paired_permutation(per: DataFrame, group: str) -> DataFrame:
+    """One row (diff, p_value, n_perm): difference of the shares ta / na and tb / nb, and the p value of swapping groups between them.
+
+    per: a row for each group, with its ta, na, tb and nb.
+    """
+    per = per.withColumn("_at", F.dense_rank().over(Window.orderBy(group)) - 1)  # a row for each session
+    n = per.count()
+    masks = swap_masks(n)
+    table = F.broadcast(per.sparkSession.createDataFrame([(i, m) for i, m in enumerate(masks)], "i int, mask long"))
+    both = per.crossJoin(table).withColumn("_swap", F.expr("shiftright(mask, cast(_at as int)) & 1") == 1)
+    pick = lambda x, y: F.sum(F.when(F.col("_swap"), F.col(y)).otherwise(F.col(x)))
+    d = both.groupBy("i").agg((F.try_divide(pick("ta", "tb"), pick("na", "nb")) - F.try_divide(pick("tb", "ta"), pick("nb", "na"))).alias("d"))
+    seen = per.agg((F.try_divide(F.sum("ta"), F.sum("na")) - F.try_divide(F.sum("tb"), F.sum("nb"))).alias("diff"))
+    out = d.crossJoin(F.broadcast(seen)).groupBy("diff").agg(F.count_if(F.round(F.abs("d"), 12) >= F.round(F.abs("diff"), 12)).alias("_k"), F.count("*").alias("n_perm"))
+    return out.select("diff", ((1 + F.col("_k")) / (1 + F.col("n_perm"))).alias("p_value"), "n_perm")
+
+
 def percentile_interval(values: DataFrame, value: str, n_resamples: int, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
     """lo and hi as order statistics of the replicates that have a value, and how many don't."""
     sorted_ = F.sort_array(F.collect_list(value))  # replicates, not records

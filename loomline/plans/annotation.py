@@ -385,6 +385,16 @@ def permutation_precision(spark, sf_dir):
     return at.select(F.round("o", 9).alias("diff"), F.round((1 + F.col("k")) / (1 + F.col("n_perm")), 9).alias("p_value"), "n_perm")
 
 
+@query("permutation_precision_all")
+def permutation_precision_all(spark, sf_dir):
+    """The same over all sessions: all swaps of up to fourteen, else random ones. No SQL: the swaps are a Mersenne twister's."""
+    rows = _matched(spark, sf_dir).join(detections(spark, sf_dir).select("det_id", "sess"), "det_id")
+    tp, one = F.col("is_tp").cast("int"), F.lit(1)
+    side = lambda x, k: F.sum(F.when(F.col("det_id") % 2 == k, x).otherwise(0))
+    s = rows.groupBy("sess").agg(side(tp, 0).alias("ta"), side(one, 0).alias("na"), side(tp, 1).alias("tb"), side(one, 1).alias("nb"))
+    return statistics.paired_permutation(s, "sess").select(_round("diff"), _round("p_value"), "n_perm")
+
+
 # --- statistics ---------------------------------------------------------------------------
 
 

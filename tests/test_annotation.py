@@ -168,6 +168,31 @@ def _plain(v):
     return v
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_permutation_over_all_sessions(spark):
+    """Against a loop over the swaps of every session."""
+    d = {r.det_id: r.sess for r in annotation.detections(spark, DATA).select("det_id", "sess").collect()}
+    per = {}
+    for r in annotation._matched(spark, DATA).select("det_id", "is_tp").collect():
+        side = per.setdefault(d[r.det_id], [[0, 0], [0, 0]])[r.det_id % 2]
+        side[0] += r.is_tp
+        side[1] += 1
+    sessions, masks = sorted(per), statistics.swap_masks(len(per))
+
+    def diff(mask):
+        x, y = [0, 0], [0, 0]
+        for i, k in enumerate(sessions):
+            a, b = per[k][::-1] if mask >> i & 1 else per[k]
+            x, y = [x[0] + a[0], x[1] + a[1]], [y[0] + b[0], y[1] + b[1]]
+        return x[0] / x[1] - y[0] / y[1]
+
+    seen = diff(0)
+    more = sum(round(abs(diff(m)), 12) >= round(abs(seen), 12) for m in masks)
+    got = registry.QUERIES["permutation_precision_all"](spark, DATA).first()
+    assert len(sessions) > 10 and got.n_perm == len(masks)
+    assert got["diff"] == pytest.approx(seen, abs=1e-8) and got.p_value == pytest.approx((1 + more) / (1 + len(masks)), abs=1e-8)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_all_orders_are_clips(spark):
     """The queries over all orders: every clip, and every frame of its grid in its chunks."""
