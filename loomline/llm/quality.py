@@ -64,9 +64,9 @@ def failing_rule(line: Column, n: Column) -> Column:
 
 
 def _any_phrase(line: Column) -> Column:
-    found = F.lit(False)
-    for phrase in BOILERPLATE:  # plain searches are cheaper than a pattern; the first letter may be of either case
-        found = found | F.contains(line, F.lit(phrase[1:]))
+    found, low = F.lit(False), F.lower(line)
+    for phrase in BOILERPLATE:  # plain searches are cheaper than a pattern
+        found = found | F.contains(low, F.lit(phrase))
     return found
 
 

@@ -201,6 +201,12 @@ def _brute_lines(texts):
     return {i: sorted(x) for i, x in gone.items()}
 
 
+def test_boilerplate_in_capitals(spark):
+    lines = ["Privacy Policy", "Terms of Use", "All Rights Reserved", "COOKIE POLICY", "Click Here", "we use cookies"]
+    got = quality.clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert got.clean_text == "we use cookies" and got.n_bad_lines == 5 and got.lost_words == 12
+
+
 def _linked_lines(texts, percent=80):
     """Removed lines by the edit similarity of all pairs of lines alone."""
     first, places = {}, {}
