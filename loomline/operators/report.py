@@ -24,7 +24,7 @@ def _rows(preds: DataFrame, gts: DataFrame) -> DataFrame:
     return found.join(preds.select("det_id", "score", "sess", "x1", "y1", "x2", "y2"), "det_id")
 
 
-def score(preds: DataFrame, gts: DataFrame, gold_frames: DataFrame, n_resamples: int = 200, seed: int = 0) -> DataFrame:
+def score(preds: DataFrame, gts: DataFrame, gold_frames: DataFrame, n_resamples: int = 2000, seed: int = 0) -> DataFrame:
     """One row: macro AP over labels with positives, its interval over resampled sessions, predictions kept and dropped by the gold set.
 
     preds and gts carry sess, clip, frame_ordinal, label, det_id and a box.

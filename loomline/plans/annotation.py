@@ -352,7 +352,7 @@ def hota(spark, sf_dir):
 
 
 @query("bootstrap_map")
-def bootstrap_map(spark, sf_dir, n_resamples: int = 200):
+def bootstrap_map(spark, sf_dir, n_resamples: int = 2000):
     """Sessions are drawn on the driver (one stream of draws); matches are made once and reweighted. No SQL: the draws are a Mersenne twister's."""
     d = detections(spark, sf_dir)
     sessions = [r[0] for r in d.select("sess").distinct().collect()]

@@ -168,6 +168,16 @@ def _plain(v):
     return v
 
 
+def test_bootstrap_replicates():
+    """As many replicates as the reference draws."""
+    import inspect
+
+    from loomline.operators import report
+
+    for f in (registry.QUERIES["bootstrap_map"], report.score):
+        assert inspect.signature(f).parameters["n_resamples"].default == 2000
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_permutation_over_all_sessions(spark):
     """Against a loop over the swaps of every session."""
