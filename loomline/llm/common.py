@@ -33,17 +33,23 @@ class Workspace:
     """Tables of one run of an operator, written once to the shared folder and read from there.
 
     A written table cuts the lineage: a lost executor costs only the running stage.
-    ``drop`` removes tables that no result reads any more.
+    ``drop`` removes tables that no result reads any more; who writes a result that
+    reads some can drop those of all workspaces ``opened`` for it.
     """
 
+    opened: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/loomline/{name}-{uuid.uuid4().hex}"
+        self.written: set[str] = set()
+        Workspace.opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
+        self.written.add(name)
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -52,6 +58,16 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.written.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Remove all tables but those that the result still reads."""
+        self.drop(*self.written.difference(names))
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def parts_for(docs: DataFrame, text: str, bytes_each: int = 16 << 20) -> int:

@@ -59,7 +59,12 @@ def shared(received: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     if not tokens:
         none = np.zeros(0, np.int64)
         return np.zeros((0, 1), np.int64), np.zeros(0, np.uint64), none, none
-    table, place = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
+    table = np.concatenate(tables)
+    if table.shape[1] == 1:  # plain numbers sort faster than rows
+        table, place = np.unique(table[:, 0], return_inverse=True)
+        table = table[:, None]
+    else:
+        table, place = np.unique(table, axis=0, return_inverse=True)
     token, owner = np.concatenate(tokens), place.ravel().astype(np.int32)[np.concatenate(owners)]
     tokens.clear(), owners.clear()
     order = np.lexsort((owner, token))

@@ -165,54 +165,39 @@ def test_line_dedup_brute(spark):
     texts += [None, "", "\n", "only 12 three"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = by_id(line_dedup.dedup_lines(df))
-    gone = _brute_lines(texts)
+    gone = _linked_lines(texts)
     for i, t in enumerate(texts):
         assert (got[i].removed_lines or []) == gone.get(i, [])
         want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, []))
         assert got[i].text == want
 
 
-def _brute_lines(texts):
-    import pyarrow as pa
-
-    first, places = {}, {}
-    for i, t in enumerate(texts):
-        for n, x in enumerate((t or "").split("\n")):
-            if form := line_dedup.normal(x):
-                places.setdefault(form, []).append((i, n))
-                first.setdefault(form, (i, n))
-    forms = list(first)
-    hashes = [h for a in line_dedup._lines(pa.array(forms)) for h in zip(a[6][0].tolist(), a[6][1].tolist(), a[7].tolist())]
-    keep = dict(first)
-    changed = True
-    near = [(a, b) for a, b in itertools.combinations(range(len(forms)), 2) if hashes[a][2] >= 8 and hashes[b][2] >= 8 and ((hashes[a][0] ^ hashes[b][0]).bit_count() + (hashes[a][1] ^ hashes[b][1]).bit_count()) <= 6 and line_dedup.near(forms[a], forms[b], 80)]
-    while changed:
-        changed = False
-        for a, b in near:
-            least = min(keep[forms[a]], keep[forms[b]])
-            for f in (forms[a], forms[b]):
-                if keep[f] != least:
-                    keep[f], changed = least, True
-    gone = {}
-    for form, at in places.items():
-        for i, n in at:
-            if (i, n) != keep[form]:
-                gone.setdefault(i, []).append(n)
-    return {i: sorted(x) for i, x in gone.items()}
-
-
 def test_boilerplate_in_capitals(spark):
     lines = ["Privacy Policy", "Terms of Use", "All Rights Reserved", "COOKIE POLICY", "Click Here", "we use cookies"]
     got = quality.clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
     assert got.clean_text == "we use cookies" and got.n_bad_lines == 5 and got.lost_words == 12
 
 
+def _plain_form(line):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
+    return tuple("".join(c if ord(c) >= 128 or c in "0123456789abcdefghijklmnopqrstuvwxyz" else " " for c in low).split(" "))
+
+
+def _plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
 def _linked_lines(texts, percent=80):
-    """Removed lines by the edit similarity of all pairs of lines alone."""
+    """Removed lines by the edit similarity of all pairs of lines alone: nothing of the module."""
     first, places = {}, {}
     for i, t in enumerate(texts):
-        for n, x in enumerate(t.split("\n")):
-            if form := line_dedup.normal(x):
+        for n, x in enumerate((t or "").split("\n")):
+            if form := tuple(w for w in _plain_form(x) if w):
                 places.setdefault(form, []).append((i, n))
                 first.setdefault(form, (i, n))
     root = {f: f for f in first}
@@ -223,7 +208,8 @@ def _linked_lines(texts, percent=80):
         return f
 
     for a, b in itertools.combinations(first, 2):
-        if line_dedup.near(a, b, percent):
+        longer = max(len(a), len(b))
+        if abs(len(a) - len(b)) * 100 <= longer * (100 - percent) and len(set(a) & set(b)) and 100 * (longer - _plain_distance(a, b)) >= percent * longer:
             a, b = sorted((find(a), find(b)), key=first.get)
             root[b] = a
     gone = {}
@@ -279,9 +265,54 @@ def test_line_dedup_cases(odd, spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_large_groups(spark):
+    """A group of many lines each alike to some others only, lists longer than those that come back as pairs, and permutations."""
+    rng = np.random.default_rng(8)
+    start = [f"w{i}" for i in range(30)]
+    texts = [" ".join(start)]
+    for i in range(60):  # a chain: far ends don't link
+        start = list(start)
+        start[int(rng.integers(30))] = f"x{i}"
+        texts.append(" ".join(start))
+    for i in range(40):  # a star of three edits each
+        copy = [f"v{k}" for k in range(20)]
+        for k in rng.choice(20, 3, replace=False):
+            copy[k] = f"y{i}-{k}"
+        texts.append(" ".join(copy))
+    texts += ["a b c d e f g h i j", "b a d c f e h g j i", "Room 12 costs 340 on 5 May", "Room 98 costs 111 on 7 May"]
+    passage = " ".join(f"p{k}" for k in range(12))
+    texts += [passage + " " + " ".join(f"q{i}-{k}" for k in range(12)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, want = by_id(line_dedup.dedup_lines(df)), _linked_lines(texts)
+    assert 60 < len(want) < 105
+    for i in range(len(texts)):
+        assert (got[i].removed_lines or []) == want.get(i, [])
+
+
+def test_line_dedup_columns(spark):
+    """Names that the operator uses itself pass through, and a name with a dot."""
+    names = ["_id", "_t", "doc", "line", "row", "numbers", "may", "k1", "owner", "first", "a.b"]
+    rows = [(i, "one line of text that occurs twice", *range(len(names))) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*df.columns, "removed_lines"]
+    assert sorted(tuple(r) for r in got.collect()) == [(0, rows[0][1], *range(len(names)), None), (1, "", *range(len(names)), [0])]
+
+
 def test_edit_similarity():
     assert line_dedup.near("a b c d e", "a x c d e", 80) and not line_dedup.near("a b c d", "a x c d", 80)
     assert line_dedup.near("a b c d e", "a b c d", 80) and not line_dedup.near("e d c b a", "a b c d e", 80)
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        a, b = ([f"{x}" for x in rng.integers(0, 6, int(rng.integers(1, 90)))] for _ in range(2))
+        if rng.random() < 0.7:
+            b = list(a)
+            for _ in range(int(rng.integers(0, 1 + len(a) // 3))):
+                at = int(rng.integers(len(b) + 1))
+                b[at : at + int(rng.integers(2))] = [f"{rng.integers(0, 6)}"] * int(rng.integers(2))
+        b = b or ["z"]
+        longer = max(len(a), len(b))
+        assert line_dedup.near(" ".join(a), " ".join(b), 80) == (100 * (longer - _plain_distance(a, b)) >= 80 * longer)
 
 
 def test_classifier(spark, odd):
