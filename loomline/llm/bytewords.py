@@ -10,14 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
-GAP_BYTE = np.zeros(256, bool)
-GAP_BYTE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
+GAPS = bytes([0x20, *range(0x09, 0x0E)])
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Longer words are hashed one by one.
+LONG = 4096
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,10 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-with np.errstate(over="ignore"):
-    BYTE_HASH = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _BASE)
-
-
 @dataclass
 class Words:
     """starts, lengths: in bytes from the block's first; hashes; text: the row of each word; first: the place of each row's first word (n+1 long)."""
@@ -43,28 +41,36 @@ class Words:
     first: np.ndarray
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, extra_gap: np.ndarray | None = None) -> Words:
-    """The words of a block: ``data`` its bytes, ``offsets`` its rows' n+1 bounds, from 0. extra_gap: further bytes (of 256) that end a word."""
-    n = len(offsets) - 1
-    inside = ~(GAP_BYTE | extra_gap if extra_gap is not None else GAP_BYTE)[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, extra_gap: bytes = b"") -> Words:
+    """The words of a block: ``data`` its bytes, ``offsets`` its rows' n+1 bounds, from 0. extra_gap: further bytes that end a word. A-Z count as lower case.
+
+    A word's hash takes in its bytes eight at a time, read at any address.
+    """
+    n, raw = len(offsets) - 1, data.tobytes()
+    inside = np.frombuffer(raw.translate(bytes(c not in GAPS + extra_gap for c in range(256))), np.uint8)
+    low = raw.translate(LOWER)
     begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
+    begins[1:] &= ~inside[:-1] & 1
     rows = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[rows] = inside[rows]  # a row's first byte starts a word of its own
-    places = np.flatnonzero(inside)
+    stops = inside.copy()
+    stops[:-1] &= (~inside[1:] & 1) | begins[1:]
     starts = np.flatnonzero(begins)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, np.uint64), none, np.zeros(n + 1, np.int64))
-    at = np.searchsorted(places, starts)
-    lengths = np.diff(np.append(at, len(places)))
-    within = np.arange(len(places)) - np.repeat(at, lengths)
+    lengths = np.flatnonzero(stops) + 1 - starts
+    first = np.searchsorted(starts, offsets)
+    eights = np.ndarray((len(low) + 1,), "<u8", low + bytes(8), strides=(1,))
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int(lengths.max()), _U(0x2545F4914F6CDD1D)), dtype=np.uint64)
-        bytes_ = LOWER[data[places]] if lower else data[places]
-        hashes = mix(np.add.reduceat(BYTE_HASH[bytes_] * powers[within], at) + lengths.astype(np.uint64) * _BASE)
-    text = np.searchsorted(offsets, starts, "right") - 1
-    return Words(starts, lengths, hashes, text, np.searchsorted(starts, offsets))
+        hashes = mix((eights[starts] & _MASKS[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) * _BASE))
+        more, k = np.flatnonzero(lengths > 8), 8
+        huge = more[lengths[more] > LONG]
+        more = more[lengths[more] <= LONG]
+        while len(more):
+            hashes[more] = mix(hashes[more] * _U(3) + (eights[starts[more] + k] & _MASKS[np.minimum(lengths[more] - k, 8)]))
+            k += 8
+            more = more[lengths[more] > k]
+    for i in huge.tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(low[starts[i] : starts[i] + lengths[i]])
+    return Words(starts, lengths, hashes, np.repeat(np.arange(n), np.diff(first)), first)
 
 
 def shingle_hashes(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

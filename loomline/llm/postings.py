@@ -21,13 +21,13 @@ def pack(tokens: np.ndarray, owners: np.ndarray, table: np.ndarray) -> bytes:
     kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
     head = np.array([len(tokens), len(used), table.shape[1], kind().itemsize], np.int64)
     planes = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8).T)
-    return b"".join((head.tobytes(), table[used].tobytes(), planes.tobytes(), places.astype(kind).tobytes()))
+    return b"".join((head.tobytes(), np.ascontiguousarray(table[used].T).tobytes(), planes.tobytes(), places.astype(kind).tobytes()))
 
 
 def unpack(cell: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, m, width, kind = np.frombuffer(cell, np.int64, 4)
     at = 32
-    table = np.frombuffer(cell, np.int64, m * width, at).reshape(m, width)
+    table = np.frombuffer(cell, np.int64, m * width, at).reshape(width, m).T
     at += m * width * 8
     planes = np.frombuffer(cell, np.uint8, 8 * n, at).reshape(8, n)
     owners = np.frombuffer(cell, np.uint16 if kind == 2 else np.uint32, n, at + 8 * n)
@@ -44,6 +44,17 @@ def cells(tokens: np.ndarray, owners: np.ndarray, table: np.ndarray, parts: int)
         yield p, pack(tokens[a:z], owners[a:z], table)
 
 
+def distinct_rows(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the place of each row among them."""
+    order = np.lexsort(table.T[::-1])
+    ranked = table[order]
+    new = np.ones(len(table), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    place = np.empty(len(table), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
+
+
 def shared(received: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the cells of some ranges, the tokens that at least two owners hold.
 
@@ -59,13 +70,8 @@ def shared(received: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     if not tokens:
         none = np.zeros(0, np.int64)
         return np.zeros((0, 1), np.int64), np.zeros(0, np.uint64), none, none
-    table = np.concatenate(tables)
-    if table.shape[1] == 1:  # plain numbers sort faster than rows
-        table, place = np.unique(table[:, 0], return_inverse=True)
-        table = table[:, None]
-    else:
-        table, place = np.unique(table, axis=0, return_inverse=True)
-    token, owner = np.concatenate(tokens), place.ravel().astype(np.int32)[np.concatenate(owners)]
+    table, place = distinct_rows(np.concatenate(tables))
+    token, owner = np.concatenate(tokens), place.astype(np.int32)[np.concatenate(owners)]
     tokens.clear(), owners.clear()
     order = np.lexsort((owner, token))
     token, owner = token[order], owner[order]
