@@ -8,7 +8,8 @@ back, so that the pieces' ids, one after another, are the text's ids. A run
 without such a place stays whole.
 
 Rows are independent: no shuffle, and a lost executor costs only its tasks.
-A null text counts as empty (no ids); other columns pass through.
+Defined results: a null or empty text has no ids; repeated rows and ties give equal
+results, an empty table an empty one; other columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.llm.common import named
+
 #: Longest piece given to the library where a safe place to cut exists near, in characters.
 PIECE = 65_536
+#: Bytes of texts that are worked on together.
+SLICE = 1 << 20
 SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
 
 
@@ -52,77 +57,83 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(enc: tiktoken.Encoding, text: str, most: int = PIECE) -> list[int]:
-    if len(text) <= most:
-        return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, most) for i in enc.encode_ordinary(piece)]
+def encode(enc: tiktoken.Encoding, text: str, most: int = PIECE) -> np.ndarray:
+    """The ids of a text as unsigned 32-bit integers, never held as Python numbers."""
+    found = [enc.encode_to_numpy(piece, disallowed_special=()) for piece in pieces(text, most)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
-def decode(enc: tiktoken.Encoding, ids: list[int]) -> bytes:
-    """The raw bytes of the ids; a cut inside a character needs no repair."""
-    return enc.decode_bytes(ids)
+def decode(enc: tiktoken.Encoding, ids: np.ndarray, most: int = PIECE) -> bytes:
+    """The raw bytes of the ids; a cut inside a character needs no repair. Ids become Python numbers ``most`` at a time."""
+    return b"".join(enc.decode_bytes(ids[at : at + most].tolist()) for at in range(0, len(ids), most))
 
 
-def _rows(batches, text: str, work):
+def _slices(batches, column: int):
+    """Batches cut to rows of about ``SLICE`` bytes of a text or binary column together, so that little is held beside a batch."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        for at in range(0, len(column), 256):  # small slices: the ids of a whole batch are never held at once
-            part = batch.slice(at, 256)
-            yield work(part, [x or "" for x in column.slice(at, 256).to_pylist()])
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        part = np.cumsum(sizes) // SLICE
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(bounds, bounds[1:]):
+            if a < z:
+                yield batch.slice(a, z - a)
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
 
 
-def encode_column(docs: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with an array of the ids of each text in column ``ids`` (an existing column of that name is replaced)."""
+def encode_column(docs: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str | None = None, pattern: str | None = None, verified: str | None = None) -> DataFrame:
+    """``docs`` with an array of the ids of each text in column ``ids`` and, if ``verified`` names one, in that column whether they decode to the text's bytes (existing columns of these names are replaced)."""
     path, pat = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    docs = docs.drop(ids) if ids in docs.columns else docs
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    texts = docs.select(named(text).alias("_text"), *(named(c) for c in docs.columns if c not in (ids, verified)))
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(verified, T.BooleanType(), False)] if verified else [])]
+    schema = T.StructType([*texts.schema.fields[1:], *fields])
 
     def run(batches):
         enc = encoding(path, pat)
+        for part in _slices(batches, 0):
+            raw = [x or "" for x in part.column(0).to_pylist()]
+            coded = [encode(enc, x) for x in raw]
+            added = [_lists(coded), *([pa.array([decode(enc, i) == x.encode() for i, x in zip(coded, raw)], pa.bool_())] if verified else [])]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *added], names=schema.names)
 
-        def work(part, texts):
-            found = pa.array([encode(enc, x) for x in texts], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, ids])
-
-        yield from _rows(batches, text, work)
-
-    return docs.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def decode_column(docs: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with the raw bytes of each array of ids in column ``out`` (null ids: null)."""
+    """``docs`` with the raw bytes of each array of ids in column ``out`` (null ids: null; an existing column of that name is replaced)."""
     path, pat = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    docs = docs.drop(out) if out in docs.columns else docs
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())])
+    coded = docs.select(named(ids).alias("_ids"), *(named(c) for c in docs.columns if c != out))
+    schema = T.StructType([*coded.schema.fields[1:], T.StructField(out, T.BinaryType())])
 
     def run(batches):
         enc = encoding(path, pat)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            found = pa.array([None if x is None else decode(enc, x) for x in column], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [decode(enc, x.values.to_numpy()) if x.is_valid else None for x in part.column(0)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return coded.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per row: its key, n_tokens, and the SHA-256 of its ids (little-endian, 32 bits) and of the bytes decoded from them."""
     path, pat = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    docs = docs.select(F.col(key), F.col(text).alias("_text"))
+    docs = docs.select(named(key), named(text).alias("_text"))
     schema = T.StructType([docs.schema.fields[0], T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
 
     def run(batches):
         enc = encoding(path, pat)
-
-        def work(part, texts):
+        for part in _slices(batches, 1):
             n, coded, decoded = [], [], []
-            for x in texts:
-                ids = encode(enc, x)
+            for x in part.column(1).to_pylist():
+                ids = encode(enc, x or "")
                 n.append(len(ids))
-                coded.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
+                coded.append(hashlib.sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(decode(enc, ids)).hexdigest())
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-        yield from _rows(batches, "_text", work)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -70,6 +70,17 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator uses itself, and the new name of each of its columns."""
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def unmasked(names: dict[str, str], but: list[str] = ()) -> list[Column]:
+    """The columns of ``masked`` under their own names, without those that are replaced."""
+    return [F.col(own).alias(name) for name, own in names.items() if name not in but]
+
+
 def parts_for(docs: DataFrame, text: str, bytes_each: int = 16 << 20) -> int:
     """Partitions for work on texts: at least spark.sql.shuffle.partitions, and one for so many bytes.
 
