@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomline.llm.common import shared_folder
+from loomline.llm.common import named, parts_for, shared_folder
 
 SEQUENCE = 2048
 BATCH = 64
@@ -52,12 +52,13 @@ class Encoder:
     The library's splitting pattern always ends a match before a space that stands between
     two characters other than white space, so that pieces cut at such places have the same
     ids apart as together. Prose repeats most of its pieces. A text with other white space
-    at a cut or at an end is given to the library whole.
+    at a cut or at an end, or with the string of an added token, is given to the library whole.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library finds in a text before it splits it.
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
@@ -80,7 +81,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [t.split(" ") for t in texts]
+        split = [t.split(" ") if not any(a in t for a in self.added) else [] for t in texts]
         new = set(itertools.chain.from_iterable(split)).difference(self.known)
         safe = [p for p in new if p and not (p[0].isspace() or p[-1].isspace())]
         self.known.update(dict.fromkeys(new.difference(safe)))
@@ -88,6 +89,9 @@ class Encoder:
             self.learn(safe[at : at + 4096])
         get, out = self.known.__getitem__, []
         for text, pieces in zip(texts, split):
+            if not pieces:
+                out.append(self.whole(text))
+                continue
             try:
                 if get(pieces[0]) is None:
                     raise TypeError
@@ -213,7 +217,7 @@ def write_tokens(docs: DataFrame, root: str | None = None, doc_id: str = "doc_id
     """Encode and write a table's texts below ``root`` (a URI; else a new folder in the shared one).
 
     A null text counts as empty and has just the end id. Rows of one id follow one another in any
-    order; a null id comes first. An empty table has a manifest without rows.
+    order; a null id comes first. An empty table has a manifest without rows. Other columns aren't read.
     """
     spark = docs.sparkSession
     root = root or f"{shared_folder(spark)}/loomline/tokens-{uuid.uuid4().hex}"
@@ -236,7 +240,7 @@ def write_tokens(docs: DataFrame, root: str | None = None, doc_id: str = "doc_id
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{root}/part-{part:06d}"]), pa.array([len(out.index)]), pa.array([out.total])], names=["part", "path", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id")
+    rows = docs.select(named(doc_id).cast("long").alias("_id"), named(text).alias("_text"))
+    ordered = rows.repartitionByRange(parts_for(rows, "_text"), "_id").sortWithinPartitions("_id")
     ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long").write.parquet(f"{root}/manifest")
     return TokenFiles(spark, root)
