@@ -11,7 +11,7 @@ chance of about 1e-11); only texts that hold a repeated window are sorted.
 
 Defined results: a null or empty text has no words, fails the base rules, and
 stays null or empty. Rows are independent, so ties and repeated rows give equal
-results.
+results, and an empty table an empty one. Other columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -19,21 +19,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import GAP, SPACES, WORD
+from loomline.llm.common import GAP, SPACES, WORD, masked, unmasked
 
 SYMBOLS = "#*$%&|<>"
 #: A word that ends a sentence, closing marks included.
-SENTENCE_END = r"""[.!?…][)"'”»]*(?:[\x20\x09-\x0D]|$)"""
+SENTENCE_END = r"""[.!?…][)"'”»]*(?:[\x20\x09-\x0D]|\z)"""
 #: A word that shouts.
-SHOUT = r"[!?]{2,}(?:[\x20\x09-\x0D]|$)"
+SHOUT = r"[!?]{2,}(?:[\x20\x09-\x0D]|\z)"
 #: A run of marks in place of, or hung on, a word.
 MARKS = r"[#*$%&]{2,}"
 #: A separator between entries.
-SEPARATOR = r"(?:^|[\x20\x09-\x0D])[|>»•·](?:[\x20\x09-\x0D]|$)"
+SEPARATOR = r"(?:^|[\x20\x09-\x0D])[|>»•·](?:[\x20\x09-\x0D]|\z)"
 #: What a line must hold for counting marks to be worth while.
 ANY_MARK = r"[|>»•·]|[#*$%&]{2}|[!?]{2}"
 #: Phrases of notices around a text.
 BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "subscribe to our", "released under the", "licensed under", "click here")
+#: Entries of menus, as whole lines.
+ENTRIES = ("home", "menu", "search", "next", "previous", "back to top", "skip to content", "log in", "login", "sign in", "sign up", "register", "contact", "contact us", "about us", "share", "read more", "site map", "sitemap")
 #: Lines of fewer words need not end a sentence.
 LINE_WORDS = 8
 MIN_WORDS = 10
@@ -59,7 +61,7 @@ def failing_rule(line: Column, n: Column) -> Column:
     )
     return F.coalesce(
         F.when(line.rlike(ANY_MARK) & (n > 0), marked),
-        F.when(n == 0, F.lit(None)).when((n >= LINE_WORDS) & ~line.rlike(SENTENCE_END), "punctuation").when(_any_phrase(line), "boilerplate"),
+        F.when(n == 0, F.lit(None)).when((n >= LINE_WORDS) & ~line.rlike(SENTENCE_END), "punctuation").when(_any_phrase(line), "boilerplate").when((n <= 3) & F.lower(F.btrim(line, F.lit(SPACES))).isin(*ENTRIES), "navigation"),
     )
 
 
@@ -76,8 +78,8 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     Added columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines, lost_words (long), base_failed, kept (boolean), clean_text; existing ones of these names are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "lost_words", "base_failed", "kept", "clean_text"]
-    docs = docs.drop(*added)
-    own = [F.col(c) for c in docs.columns]
+    docs, names = masked(docs)
+    own, text = [F.col(c) for c in docs.columns], names[text]
     t = F.coalesce(F.col(text), F.lit(""))
     # a line feed is a gap between words, so that the lines' words are the text's
     a = docs.select(*own, F.transform(F.split(t, "\n", -1), lambda x: F.struct(x.alias("line"), words_of(x).alias("words"))).alias("_split"))
@@ -104,7 +106,8 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.col(text).isNotNull(), F.array_join(F.transform(F.filter("_judged", lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n")).alias("clean_text"),
     )
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
-    return e.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") * 100 <= F.col("n_words") * LOST_PERCENT))
+    e = e.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") * 100 <= F.col("n_words") * LOST_PERCENT))
+    return e.select(*unmasked(names, added), *added)
 
 
 def _quote(pattern: str) -> str:
@@ -122,7 +125,8 @@ f as (
     or len(regexp_extract_all(line, '{MARKS}')) * 4 >= n
     or len(regexp_extract_all(line, '{SHOUT}')) * 2 >= n
     or (n >= {LINE_WORDS} and not regexp_matches(line, '{_quote(SENTENCE_END)}'))
-    or regexp_matches(line, '{"|".join(x[1:] for x in BOILERPLATE)}')) as bad
+    or regexp_matches(lower(line), '{"|".join(BOILERPLATE)}')
+    or (n <= 3 and lower(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) in {ENTRIES})) as bad
   from m),
 g as (
   select doc_id, count(*) filter (n > 0) - count(distinct line) filter (n > 0) as n_dup_lines,
