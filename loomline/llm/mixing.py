@@ -3,23 +3,26 @@
 Each source's documents stand in a fixed shuffled order (by a hash of their id),
 once for each copy that the source's target asks for. A copy's virtual finish
 time is the source's words up to and with it, divided by the source's target.
-Over all sources, copies are taken by finish time while the words taken stay
-within the total budget. So sources fill at the same relative rate, and a longer
-run of the mix starts with a shorter one.
+Over all sources, copies stand in one queue by finish time, and the mix is the part of
+the queue whose words stay within the total budget. So sources fill at the same
+relative rate, and a longer run of the mix starts with a shorter one.
 
 How this stays distributed:
 
 * Running sums within a source are taken in slices of its order of about
   ``SLICE`` rows; slice sums (pre-aggregated) give each slice its offset. A
   source with a third of all rows is many slices.
-* The last finish time within the budget comes from histograms of at most
-  ``BINS`` + 1 sums, refined around the crossing bin until it holds few rows.
-* A copy is taken or not by comparing its document's hash with its source's last
-  one taken, so that texts are never shuffled.
+* The queue is range-partitioned by finish time. Running sums within a range and the
+  sums of the ranges before it give each copy the words up to and with it, and the
+  queue is truncated where these exceed the budget.
+* Sorting and summing move rows of numbers. Texts move only when the mix itself is
+  asked for: to their places, then into the queue's ranges, in whose order it is written.
+* Shares and targets are computed over one row for each source, in one task.
 
 Defined results: a null source is a source of its own, after the others; a null
-text has size 0 and takes 0; rows of the same source and id stand at one place
-and are taken together; an empty table gives an empty mix.
+text has size 0, takes 0 and isn't in the mix; rows of the same source and id (a
+null one too) stand at one place and are taken together; an empty table gives an
+empty mix. Other columns of any name pass through.
 Native: DataFrame functions only.
 """
 
@@ -29,14 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WORD, Workspace, size_of
+from loomline.llm.common import WORD, Workspace, masked, named, size_of, unmasked
 
 SLICE = 1000
-BINS = 4096
-#: A crossing bin of so many distinct finish times at most is settled exactly.
-FEW = 10_000
-#: Sources whose cut points may be broadcast to filter whole documents; more are joined.
-BROADCAST_SOURCES = 20_000
 #: A source's target is at most so many times its size.
 MOST_COPIES = 3
 #: Positions in the shuffled order are integers below this.
@@ -75,11 +73,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 
 class Mix:
-    """The mix of a table of documents. ``placed``: a row for each document with its size, source_size, target and running sum; ``last``: the last finish time taken."""
+    """The mix of a table of documents. ``placed``: a row for each document with its size, source_size, target and running sum; ``queue``: a row for each copy taken; ``last``: the last finish time taken."""
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix"):
         self.seed, self.space = seed, Workspace(docs.sparkSession, "mix")
-        sized = self.space.table("sizes", docs.select(F.col(doc_id).alias("_id"), source_key(F.col(source)).alias("_key"), size_of(F.col(text)).alias("size")))
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sized = self.space.table("sizes", docs.select(named(doc_id).alias("_id"), source_key(named(source)).alias("_key"), size_of(named(text)).alias("size")))
         sized = sized.withColumn("_order", order_of(F.col("_id"), seed))
         totals = sized.groupBy("_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
         goals = targets(totals.select("_key", "source_size"), weights).join(totals.select("_key", "_rows"), "_key")
@@ -91,57 +90,40 @@ class Mix:
         within = W.partitionBy("_key", "_slice").orderBy("_order").rangeBetween(W.unboundedPreceding, W.currentRow)
         placed = rows.withColumn("_run", F.sum("size").over(within)).join(offsets, ["_key", "_slice"])
         self.placed = self.space.table("placed", placed.select("_id", "_key", "_order", "size", "source_size", "target", (F.col("_offset") + F.col("_run")).alias("_run")))
-        self.last = self._last()
-
-    @staticmethod
-    def _finish(copy: Column) -> Column:
-        return (copy * F.col("source_size") + F.col("_run")) / F.col("target")
-
-    def copies(self) -> DataFrame:
-        asked = self.placed.where((F.col("target") > 0) & (F.col("size") > 0))
-        asked = asked.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int") - 1)))
-        return asked.withColumn("_finish", self._finish(F.col("_copy")))
-
-    def _last(self) -> float:
-        """The largest finish time such that all copies up to it are within the budget."""
-        items, spent, last, low, width = self.copies(), 0, -1.0, 0.0, 2.0
-        while True:
-            bin_of = F.least(F.floor((F.col("_finish") - F.lit(low)) / F.lit(width / BINS)), F.lit(BINS)).alias("_bin")
-            bins = items.groupBy(bin_of).agg(F.sum("size").alias("n"), F.min("_finish").alias("least"), F.max("_finish").alias("most"), F.count("*").alias("rows")).collect()
-            crossing = None
-            for b in sorted(bins, key=lambda b: b["_bin"]):
-                if spent + b["n"] > self.budget:
-                    crossing = b
-                    break
-                spent, last = spent + b["n"], b["most"]
-            if crossing is None:
-                return last
-            items = items.where(F.col("_finish").between(crossing["least"], crossing["most"]))
-            if crossing["least"] == crossing["most"]:
-                return last
-            if crossing["rows"] <= FEW:
-                for x in sorted(items.groupBy("_finish").agg(F.sum("size").alias("n")).collect(), key=lambda x: x["_finish"]):
-                    if spent + x["n"] > self.budget:
-                        break
-                    spent, last = spent + x["n"], x["_finish"]
-                return last
-            low, width = crossing["least"], crossing["most"] - crossing["least"]
+        self.queue = self._queue()
+        self.last = self.queue.agg(F.coalesce(F.max("_finish"), F.lit(-1.0))).head()[0]
+        self.space.drop("sizes", "sources", "ranged")
+
+    def _finishes(self) -> Column:
+        """The finish times of the copies that a document's source asks for."""
+        times = [(F.lit(k) * F.col("source_size") + F.col("_run")) / F.col("target") for k in range(MOST_COPIES)]
+        return F.slice(F.array(*times), F.lit(1), F.ceil(F.col("target") / F.col("source_size")).cast("int"))
+
+    def _queue(self) -> DataFrame:
+        """(_key, _order, size, _finish): copies by finish time, as far as their words stay within the budget."""
+        copies = self.placed.where((F.col("target") > 0) & (F.col("size") > 0)).select("_key", "_order", "size", F.explode(self._finishes()).alias("_finish"))
+        ranged = copies.repartitionByRange(self.parts, "_finish").sortWithinPartitions("_finish").withColumn("_range", F.spark_partition_id())
+        ranged = self.space.table("ranged", ranged)
+        sums = ranged.groupBy("_range").agg(F.sum("size").alias("_sum"))  # a row for each range
+        before = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        upto = F.col("_before") + F.sum("size").over(W.partitionBy("_range").orderBy("_finish").rangeBetween(W.unboundedPreceding, W.currentRow))
+        spent = ranged.join(F.broadcast(before), "_range").withColumn("_upto", upto)
+        return self.space.table("queue", spent.where(F.col("_upto") <= self.budget).drop("_range", "_before", "_upto"))
 
     def report(self) -> DataFrame:
-        """A row for each document: _id, size, source_size, target, and taken (words that the mix takes, repeats counted)."""
-        n = sum((F.when((self._finish(F.lit(k)) <= F.lit(self.last)) & (F.lit(k) < F.ceil(F.col("target") / F.col("source_size"))), 1).otherwise(0) for k in range(MOST_COPIES)), F.lit(0))
-        taken = F.when((F.col("target") > 0) & (F.col("size") > 0), n * F.col("size")).otherwise(0).cast("long")
-        return self.placed.select("_id", "size", "source_size", "target", taken.alias("taken"))
-
-    def taken(self, docs: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-        """The documents of the mix, each as often as it is taken. Texts stay where they are if the sources' cut points can be broadcast."""
-        cuts = self.copies().where(F.col("_finish") <= self.last).groupBy("_key", "_copy").agg(F.max("_order").alias("_last"))
-        cuts = self.space.table("cuts", cuts.groupBy("_key").agg(F.collect_list("_last").alias("_lasts")))
-        small = self.sources.count() <= BROADCAST_SOURCES
-        keyed = docs.withColumn("_key", source_key(F.col(source))).withColumn("_order", order_of(F.col(doc_id), self.seed))
-        found = keyed.join(F.broadcast(cuts) if small else cuts, "_key")
-        times = F.size(F.filter("_lasts", lambda x: F.col("_order") <= x))
-        return found.withColumn("_n", times).where("_n > 0").select(*(F.col(c) for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_times")).drop("_times")
+        """A row for each document, in the order of the queue: _id, size, source_size, target, taken (words that the mix takes, repeats counted) and finish (the first copy's finish time; null: none is taken)."""
+        n = F.when((F.col("target") > 0) & (F.col("size") > 0), F.size(F.filter(self._finishes(), lambda x: x <= self.last))).otherwise(0)
+        finish = F.when(n > 0, F.col("_run") / F.col("target"))
+        return self.placed.select("_id", "size", "source_size", "target", (n * F.col("size")).cast("long").alias("taken"), finish.alias("finish")).orderBy(F.asc_nulls_last("finish"), "_id")
+
+    def taken(self, docs: DataFrame, doc_id: str = "doc_id", source: str = "source", finish: str | None = None) -> DataFrame:
+        """The documents of the mix, each as often as it is taken, in the order of the queue; ``finish`` names a column for the finish time."""
+        docs, names = masked(docs)
+        places = self.queue.groupBy("_key", "_order").agg(F.collect_set("_finish").alias("_finishes"))  # at most MOST_COPIES
+        keyed = docs.withColumn("_key", source_key(F.col(names[source]))).withColumn("_order", order_of(F.col(names[doc_id]), self.seed))
+        copies = keyed.join(places, ["_key", "_order"]).withColumn("_finish", F.explode("_finishes"))
+        queue = copies.repartitionByRange(self.parts, "_finish", "_order").sortWithinPartitions("_finish", "_order")
+        return queue.select(*unmasked(names, [finish]), *([F.col("_finish").alias(finish)] if finish else []))
 
 
 #: The same rows by running sums over whole sources and over all finish times.
@@ -170,6 +152,7 @@ l as (
   select max(finish) as last from (select finish, sum(sum(size)) over (order by finish) as spent from c group by finish)
   where spent <= (select sum(size) from d))
 select p.doc_id, p.size, p.source_size, p.target,
-  coalesce((select sum(c.size) from c where c.doc_id is not distinct from p.doc_id and c.finish <= (select last from l)), 0)::bigint as taken
+  coalesce((select sum(c.size) from c where c.doc_id is not distinct from p.doc_id and c.finish <= (select last from l)), 0)::bigint as taken,
+  case when p.size > 0 and p.target > 0 and p.run::double / p.target <= (select last from l) then p.run::double / p.target end as finish
 from p
 """
