@@ -16,8 +16,9 @@ never leave its task; only fingerprints do.
 
 Defined results: a null text counts as empty; an empty text's fingerprint is
 empty, with likeness 1 to an empty text and 0 to others. Equal texts have equal
-fingerprints. A null id counts as the least one. Rows of one id and text give
-one row; where texts share an id, the id's least text is the next document's.
+fingerprints. A null id counts as the least one. Repeated rows are computed once and
+given as often as they occur; where texts share an id, the id's least text is the next
+document's. An empty table gives none. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomline.llm.common import Workspace
+from loomline.llm.common import Workspace, named
 from loomline.llm.quality import words_of
 
 SAMPLES = 32
@@ -100,7 +101,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     The edited text has the last third (rounded down) of its code points replaced by as many first ones (or all) of the next document, by descending id.
     """
     space = Workspace(docs.sparkSession, "fingerprints")
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    own = docs.select(F.coalesce(named(doc_id).cast("long"), F.lit(_NO_ID)).alias("_k"), F.coalesce(named(text), F.lit("")).alias("_t"))
     third = F.floor(F.length("_t") / 3).cast("int")
     chain = space.table("chain", next_ids(own.select("_k"), space).join(own.groupBy("_k").agg(F.max(third).alias("_most")), "_k"))
     asked = chain.select(F.col("_next").alias("_k"), F.col("_k").alias("_for"), "_most")
@@ -113,8 +114,10 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     found = fingerprints(both, ["_k", "_n", "_x", "_sha", "_which"], "_text", samples)
     found = found.groupBy("_k", "_n", "_x", "_sha").agg(F.max(F.when(F.col("_which") == 0, F.col("samples"))).alias("_f"), F.max(F.when(F.col("_which") == 1, F.col("samples"))).alias("_g"))
     found = space.table("found", found)
+    repeated = own.groupBy("_k", F.length("_t").cast("long").alias("_n"), F.xxhash64("_t").alias("_x")).agg(F.count("*").alias("_times")).where("_times > 1")
     following = found.groupBy("_k").agg(F.min(F.struct("_n", "_x", "_f"))["_f"].alias("_h")).withColumnRenamed("_k", "_next")
     out = found.join(chain.select("_k", "_next"), "_k").join(following, "_next")
+    out = out.join(repeated, ["_k", "_n", "_x"], "left").withColumn("_time", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1)))))
     return out.select(
         F.nullif("_k", F.lit(_NO_ID)).alias(doc_id),
         F.col("_n").alias("n_chars"),
