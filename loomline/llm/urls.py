@@ -7,10 +7,15 @@ corpus hold; a URL's tokens fetch the rules filed under them, and only those
 rules' expressions run. Rules without a bounded literal are filed under the
 empty token, which every URL fetches.
 
-Native: DataFrame functions only. Work is done once for each distinct URL, so
-that a URL which a third of all pages share costs one row; token counts are
-pre-aggregated. The rules are a parameter: at most ``MOST_RULES`` of them, which
-bounds what is broadcast.
+Native: DataFrame functions only. Pages aren't shuffled: a row looks its tokens up in
+the rules, which are one value (a scalar subquery) of buckets by the token's hash, so
+that a hot URL is no hot key. Only counts of the rules' tokens move, pre-aggregated. Rules
+are a parameter of any number; an executor holds them once, in some hundred bytes each.
+
+Defined results: every row stays, repeated ones too. A null URL and one without ``://``
+have empty host and path, which no rule with a token fits. Equally ranked rules that
+both fit decide by the smallest name, then verdict. An empty table stays empty. Other
+columns of any name pass through; long URLs are matched whole.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 2_000
+from loomline.llm.common import masked, unmasked
+
 TOKEN_GAP = "[^a-z0-9]+"
 
 
@@ -40,7 +46,7 @@ def host_rule(verdict: str, rule: str) -> Rule:
     """A rule like ``example.org/es/``: fits the host and its subdomains if the path starts with the rule's; longer ones win."""
     host, slash, rest = rule.partition("/")
     path = slash + rest
-    pattern = rf"^(?:[^/?#]*\.)?{_quoted(host)}(?=$|/){_quoted(path)}"
+    pattern = rf"^(?:[^/?#]*\.)?{_quoted(host)}(?=\z|/){_quoted(path)}"
     whole = path.rpartition("/")[0]  # a last part that isn't ended may go on in a URL
     tokens = tuple(t for t in re.split(TOKEN_GAP, f"{host}/{whole}".lower()) if t)
     return Rule(pattern, verdict, 1_000_000 + len(rule), rule, tokens)
@@ -66,13 +72,13 @@ HOST_RULES = (
 
 #: For pages that no host rule decides: hosts and paths that offer no prose. Each needs its words as whole tokens.
 PATTERN_RULES = (
-    pattern_rule("block", r"(?:^|[.-])spam(?:[.-]|$|/)", "spam"),
-    pattern_rule("block", r"(?:^|[.-])casino(?:[.-]|$|/)", "casino"),
-    pattern_rule("block", r"(?:^|[.-])porn(?:[.-]|$|/)", "porn"),
-    pattern_rule("block", r"(?:^|[.-])(?:ads?)(?:[.-]|$|/)[^/]*/(?:.*[/._-])?click(?:[/._-]|$)", "click"),
-    pattern_rule("block", r"^(?:ads?|adserver|tracker|tracking)\.[^/]*/pixel(?:[/._-]|$)", "pixel"),
-    pattern_rule("block", r"/wp-login\.php$", "wp", "login", "php"),
-    pattern_rule("block", r"/cart/(?:add|checkout)(?:/|$)", "cart"),
+    pattern_rule("block", r"(?:^|[.-])spam(?:[.-]|\z|/)", "spam"),
+    pattern_rule("block", r"(?:^|[.-])casino(?:[.-]|\z|/)", "casino"),
+    pattern_rule("block", r"(?:^|[.-])porn(?:[.-]|\z|/)", "porn"),
+    pattern_rule("block", r"(?:^|[.-])(?:ads?)(?:[.-]|\z|/)[^/]*/(?:.*[/._-])?click(?:[/._-]|\z)", "click"),
+    pattern_rule("block", r"^(?:ads?|adserver|tracker|tracking)\.[^/]*/pixel(?:[/._-]|\z)", "pixel"),
+    pattern_rule("block", r"/wp-login\.php\z", "wp", "login", "php"),
+    pattern_rule("block", r"/cart/(?:add|checkout)(?:/|\z)", "cart"),
 )
 
 
@@ -87,45 +93,45 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, otherwise: str = "allow") -> DataFrame:
-    """``pages`` with host, path, rule and verdict of each URL (existing columns of these names are replaced).
-
-    Every row stays, repeated ones too. A null URL and one without ``://`` have empty host and path, which no rule with a token fits.
-    """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
-    spark = pages.sparkSession
-    pages = pages.drop("host", "path", "rule", "verdict")
-    distinct = pages.select(F.col(url).alias("_url")).where(F.col("_url").isNotNull()).distinct()
-    held = distinct.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
-    held = held.select("_url", F.concat("_host", "_path").alias("_at"))
-    tokens = held.select("_url", "_at", F.explode(F.array_distinct(F.split(F.concat_ws("/", F.lit(""), F.lower("_at"), F.lit("")), TOKEN_GAP))).alias("_token"))
-
-    nothing = F.lit(None).cast("string")
-    told = [
-        F.struct(
-            F.lit(i).alias("_id"), F.lit(r.pattern).alias("_pattern"), F.lit(r.verdict).alias("_verdict"), F.lit(r.rank).alias("_rank"),
-            (nothing if r.name is None else F.lit(r.name)).alias("_name"), F.array(*(F.lit(t) for t in r.tokens or ("",))).alias("_tokens"),
-        )
-        for i, r in enumerate(rules)
-    ]
-    table = spark.range(1).select(F.inline(F.array(*told)))
+_RULE = "_id int, _pattern string, _verdict string, _order long, _name string, _tokens array<string>"
+
+
+def _tokens(at: Column) -> Column:
+    """The tokens of a host and path, and the empty one."""
+    return F.array_distinct(F.split(F.concat_ws("/", F.lit(""), F.lower(at), F.lit("")), TOKEN_GAP))
+
+
+def _index(held: DataFrame, rules: tuple[Rule, ...]) -> Column:
+    """The rules in buckets by the hash of their rarest token among the URLs (_at)."""
+    spark = held.sparkSession
+    told = [(i, r.pattern, r.verdict, -r.rank, r.name, list(r.tokens or ("",))) for i, r in enumerate(rules)]
+    table = spark.createDataFrame(told, _RULE)
     needed = table.select("_id", F.explode("_tokens").alias("_token"))
-    counts = tokens.join(F.broadcast(needed.select("_token").distinct()), "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("_n"))
-    # at most as many rows as the rules have tokens
-    rarest = needed.join(F.broadcast(counts), "_token", "left").groupBy("_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_token")).alias("_rarest"))
-    index = table.join(F.broadcast(rarest), "_id").select(F.col("_rarest._token").alias("_token"), "_pattern", "_verdict", "_rank", "_name")
-
-    fits = tokens.join(F.broadcast(index), "_token").where(F.expr("_at rlike _pattern"))
-    best = fits.groupBy("_url").agg(F.min(F.struct((-F.col("_rank")).alias("_order"), F.col("_name").alias("_name"), F.col("_verdict").alias("_verdict"))).alias("_best"))
-    out = pages.join(best, F.col(url) == F.col("_url"), "left")
-    return out.select(
-        *(F.col(c) for c in pages.columns),
-        host_of(F.col(url)).alias("host"),
-        path_of(F.col(url)).alias("path"),
-        F.col("_best._name").alias("rule"),
-        F.coalesce("_best._verdict", F.lit(otherwise)).alias("verdict"),
-    )
+    tokens = held.select(F.explode(_tokens(F.col("_at"))).alias("_token"))
+    counts = tokens.join(needed.select("_token").distinct(), "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("_n"))
+    rarest = needed.join(counts, "_token", "left").groupBy("_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_token")).alias("_rarest"))
+    rule = F.struct(F.col("_rarest._token").alias("token"), F.col("_pattern").alias("pattern"), F.struct("_order", "_name", "_verdict").alias("told"))
+    filed = table.join(rarest, "_id").select(F.pmod(F.xxhash64("_rarest._token"), F.lit(len(rules))).cast("int").alias("_bucket"), rule.alias("_rule"))
+    buckets = filed.groupBy("_bucket").agg(F.collect_list("_rule").alias("_rules"))
+    every = spark.range(len(rules)).select(F.col("id").cast("int").alias("_bucket")).join(buckets, "_bucket", "left")
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_rules"))), lambda x: x["_rules"])
+    return every.agg(whole.alias("_index")).scalar()
+
+
+def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, otherwise: str = "allow") -> DataFrame:
+    """``pages`` with host, path, rule and verdict of each URL (existing columns of these names are replaced)."""
+    pages, names = masked(pages)
+    at = F.col(names[url])
+    told = pages.withColumn("host", host_of(at)).withColumn("path", path_of(at)).withColumn("_at", F.concat("host", "path"))
+    if rules:
+        held = told.where(at.isNotNull()).select("_at")
+        found = F.flatten(F.transform(_tokens(F.col("_at")), lambda t: F.filter(F.coalesce(F.get(F.col("_index"), F.pmod(F.xxhash64(t), F.lit(len(rules))).cast("int")), F.array()), lambda r: r["token"] == t)))
+        fits = F.transform(F.filter(found, lambda r: F.rlike(F.col("_at"), r["pattern"])), lambda r: r["told"])
+        told = told.withColumn("_index", _index(held, rules)).withColumn("_best", F.when(at.isNotNull(), F.array_min(fits)))
+        rule, verdict = F.col("_best._name"), F.col("_best._verdict")
+    else:
+        rule = verdict = F.lit(None).cast("string")
+    return told.select(*unmasked(names, ["host", "path", "rule", "verdict"]), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit(otherwise)).alias("verdict"))
 
 
 #: The same rows by testing every rule on every URL.
@@ -144,11 +150,11 @@ j as (
   from p)
 select page_id, host, path, best.rule as rule,
   case when best is not null then best.verdict
-    when regexp_matches(host || path, '(?:^|[.-])(?:spam|casino|porn)(?:[.-]|$|/)')
-      or regexp_matches(host || path, '(?:^|[.-])(?:ads?)(?:[.-]|$|/)[^/]*/(?:.*[/._-])?click(?:[/._-]|$)')
-      or regexp_matches(host || path, '^(?:ads?|adserver|tracker|tracking)\.[^/]*/pixel(?:[/._-]|$)')
-      or regexp_matches(host || path, '/wp-login\.php$')
-      or regexp_matches(host || path, '/cart/(?:add|checkout)(?:/|$)') then 'block'
+    when regexp_matches(host || path, '(?:^|[.-])(?:spam|casino|porn)(?:[.-]|\z|/)')
+      or regexp_matches(host || path, '(?:^|[.-])(?:ads?)(?:[.-]|\z|/)[^/]*/(?:.*[/._-])?click(?:[/._-]|\z)')
+      or regexp_matches(host || path, '^(?:ads?|adserver|tracker|tracking)\.[^/]*/pixel(?:[/._-]|\z)')
+      or regexp_matches(host || path, '/wp-login\.php\z')
+      or regexp_matches(host || path, '/cart/(?:add|checkout)(?:/|\z)') then 'block'
     else 'allow' end as verdict
 from j
 """
