@@ -76,7 +76,9 @@ def test_bpe_equals_library(docs, odd, spark):
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     back = bpe.decode_column(bpe.encode_column(odd))
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back.collect()) and back.count() == len(TEXTS) + 2
-    assert bpe.digests(empty(spark)).count() == 0
+    whole = bpe.encode_column(odd, verified="round_trip").collect()
+    assert all(r.round_trip and r.ids == ranks.encode_ordinary(r.text or "") for r in whole) and len(whole) == len(TEXTS) + 2
+    assert bpe.digests(empty(spark)).count() == 0 and bpe.encode_column(empty(spark)).count() == 0
 
 
 def test_bpe_pieces():
@@ -84,12 +86,11 @@ def test_bpe_pieces():
     rng = np.random.default_rng(0)
     for _ in range(300):
         t = "".join(rng.choice(list("ab1!é \n\t\u00a0'"), 60))
-        assert bpe.encode(enc, t, 7) == enc.encode_ordinary(t) and "".join(bpe.pieces(t, 7)) == t
+        assert bpe.encode(enc, t, 7).tolist() == enc.encode_ordinary(t) and "".join(bpe.pieces(t, 7)) == t
 
 
 def test_token_files(docs, odd, spark, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = token_files.write_tokens(docs, f"file://{tmp_path}/a", length=64)
     rows, start = by_id(out.documents()), 0
     for i, x in enumerate(TEXTS):
@@ -107,7 +108,10 @@ def test_token_files(docs, odd, spark, tmp_path):
 def test_encoder_pieces():
     enc = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rng = np.random.default_rng(1)
-    texts = ["".join(rng.choice(list("ab1!é \n\t\u00a0'Ġ"), int(rng.integers(0, 40)))) for _ in range(400)]
+    texts = ["".join(rng.choice([*"ab1!é \n\t\u00a0'Ġ", "<|endoftext|>"], int(rng.integers(0, 40)))) for _ in range(400)]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == np.frombuffer(enc.encode(["a <|endoftext|> b"])[0], "<u4").tolist()
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert enc.encode(texts) == [enc.whole(t) for t in texts]
 
 
@@ -385,10 +389,32 @@ def test_mix(spark, docs, odd):
     per = got.groupby("source_size").agg({"taken": "sum", "target": "first"})
     assert (abs(per["taken"] - per["target"]) <= 7).all()
     again = mixing.Mix(df.repartition(5)).report().toPandas()
-    assert sorted(map(tuple, got.values)) == sorted(map(tuple, again.values))
+    assert [tuple(x) for x in got.sort_values("_id").fillna(-1).values] == [tuple(x) for x in again.sort_values("_id").fillna(-1).values]
     copies = mix.taken(df).groupBy("doc_id").count().collect()
     want = {int(r._id): int(r.taken // r.size) for r in mix.report().collect() if r.taken}
     assert {r["doc_id"]: r["count"] for r in copies} == want
+    queue = [r.at for r in mix.taken(df, finish="at").collect()]
+    assert queue == sorted(queue) and queue[-1] == mix.last
+    # a queue over all copies, plainly: cut at the budget
+    sizes, targets = ({r._id: r[c] for r in mix.report().collect()} for c in ("size", "target"))
+    order = sorted(rows, key=lambda r: int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:15], 16))
+    total = Counter()
+    for i, t, s in rows:
+        total[s] += sizes[i]
+    finishes, run = [], Counter()
+    for i, _, s in order:
+        run[s] += sizes[i]
+        finishes += [((k * total[s] + run[s]) / targets[i], sizes[i]) for k in range(3) if k < -(-targets[i] // total[s])]
+    spent, last = 0, None
+    for f, n in sorted(finishes):
+        spent += n
+        if spent > sum(sizes.values()):
+            break
+        last = f
+    assert mix.last == last
+    names = ["_key", "_order", "_finish", "_finishes", "_n", "_range", "own_0"]
+    wide = df.select("*", *(F.lit(7).alias(n) for n in names))
+    assert mixing.Mix(wide).taken(wide).columns == wide.columns and all(r[3:] == (7,) * len(names) for r in mixing.Mix(wide).taken(wide).collect())
     assert mixing.Mix(odd).report().count() == len(TEXTS) + 2
     assert mixing.Mix(empty(spark)).report().count() == 0 and mixing.Mix(empty(spark)).taken(empty(spark)).count() == 0
 
@@ -416,7 +442,8 @@ def test_fingerprints(spark, docs, odd):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert abs(r.near_edited - _jaccard(t, edited)) < 0.36 and abs(r.near_next - _jaccard(t, after)) < 0.36
     assert rows[5].fingerprint == rows[6].fingerprint and len(rows[5].fingerprint) == 8 * fingerprints.SAMPLES and rows[0].fingerprint == ""
-    assert fingerprints.edited_fingerprints(odd).count() == len(TEXTS) + 1  # the repeated row is one
+    repeated = fingerprints.edited_fingerprints(odd).where("doc_id = 5").collect()
+    assert len(repeated) == 2 and repeated[0] == repeated[1] and fingerprints.edited_fingerprints(odd).count() == len(TEXTS) + 2
     assert fingerprints.edited_fingerprints(empty(spark)).count() == 0
 
 
@@ -444,7 +471,7 @@ def _brute_rule(url):
             best = rule, verdict
     if best:
         return host, path, *best
-    fits = any(re.search(r.pattern, host + path) for r in urls.PATTERN_RULES)
+    fits = any(re.search(r.pattern.replace(r"\z", r"\Z"), host + path) for r in urls.PATTERN_RULES)
     return host, path, None, "block" if fits else "allow"
 
 
@@ -455,3 +482,29 @@ def test_urls(spark):
         r = rows[i]
         assert (r.host, r.path, r.rule, r.verdict) == _brute_rule(u)
     assert urls.judge_urls(pages.limit(0)).count() == 0
+    names = ["_url", "_at", "_index", "_best", "rule", "verdict", "own_1"]
+    wide = pages.select("*", *(F.lit("x" * 50).alias(n) for n in names))
+    got = urls.judge_urls(wide)
+    assert set(got.columns) == {"page_id", "url", "_url", "_at", "_index", "_best", "own_1", "host", "path", "rule", "verdict"}
+    assert sorted((r.page_id, r.verdict, r._at) for r in got.collect()) == sorted((i, _brute_rule(u)[3], "x" * 50) for i, u in enumerate(URLS * 2))
+
+
+def test_urls_many_rules(spark):
+    """Thousands of rules, and a URL that most rows have."""
+    rules = tuple(urls.host_rule("block" if i % 2 else "allow", f"h{i}.com/p{i % 7}/") for i in range(5000))
+    asked = [f"http://h{i}.com/p{i % 7}/x" for i in range(0, 5000, 50)] + [f"http://h{i}.com/q" for i in range(50)] + ["http://h3.com/p3/" + "y" * 100_000] * 300
+    got = urls.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(asked)], "page_id long, url string"), rules=rules).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        m = re.match(r"http://h(\d+)\.com/p", asked[r.page_id])
+        assert r.rule == (f"h{m[1]}.com/p{int(m[1]) % 7}/" if m else None) and r.verdict == ("block" if m and int(m[1]) % 2 else "allow")
+    plain = urls.judge_urls(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string"), rules=())
+    assert [(r.rule, r.verdict) for r in plain.collect()] == [(None, "allow")]
+
+
+def test_quality_columns(spark):
+    """Names that the operator uses itself pass through; menus of one entry a line are found."""
+    names = ["_words", "_split", "_lines", "_hashes", "_sorted", "_bad", "own_0"]
+    df = spark.createDataFrame([(1, "Home\nContact us\nA first sentence of a text that goes on for some words.", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    r = quality.clean_lines(df).first()
+    assert [r[n] for n in names] == list(range(len(names))) and r.n_bad_lines == 2 and r.lost_words == 3
