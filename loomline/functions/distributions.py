@@ -86,3 +86,12 @@ def clopper_pearson_column(k: Column, n: Column, alpha: float = 0.05) -> Column:
         return pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)], ["lo", "hi"])
 
     return interval(k, n)
+
+
+def mde_column(sd: Column, n: Column, power: float = 0.8, alpha: float = 0.05) -> Column:
+    """``mde_paired`` of few rows."""
+    @F.arrow_udf(T.DoubleType())
+    def least(sd: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([None if s is None or k is None else mde_paired(s, k, power, alpha) for s, k in zip(sd.to_pylist(), n.to_pylist())], pa.float64())
+
+    return least(sd, n)

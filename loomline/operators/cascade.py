@@ -73,6 +73,36 @@ def missing_labels(clips: DataFrame, verdicts: DataFrame, clip: str = "clip") ->
     return clips.join(kept, clip, "left").withColumn("missing_labels", missing).drop("_kept")
 
 
+def summary(clips: DataFrame, verdicts: DataFrame, clip: str = "clip") -> DataFrame:
+    """(kind, name, n): detections of each reason, and how many clips never found each of their labels."""
+    reasons = verdicts.groupBy(F.col("reason").alias("name")).agg(F.count("*").alias("n")).select(F.lit("reason").alias("kind"), "name", "n")
+    missing = missing_labels(clips, verdicts, clip).select(F.explode("missing_labels").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return reasons.union(missing.select(F.lit("never_found"), "name", "n"))
+
+
+def head_boxes(boxes_from_head: bool, required: bool = True) -> None:
+    """An error for a detector whose boxes come from masks, if boxes must come from its detection head."""
+    if required and not boxes_from_head:
+        raise ValueError("the detector's boxes come from masks")
+
+
+def decode_boxes(raw: DataFrame, limit: float = 0.60, most: int = 32, keys: tuple[str, ...] = ("frame_id", "prompt")) -> DataFrame:
+    """Detections from a model's raw output (keys, cx, cy, w, h as shares, logit, presence_logit or null, width, height).
+
+    The score is the logistic of the logit times that of the presence logit, ``limit`` at least; boxes are cut to the
+    image and those under two pixels on a side go; of each prompt the ``most`` best stay. A label is its prompt with underscores.
+    """
+    logistic = lambda c: 1 / (1 + F.exp(-F.col(c)))
+    presence = F.when(F.col("presence_logit").isNotNull(), logistic("presence_logit"))
+    out = raw.withColumn("presence", presence).withColumn("score", logistic("logit") * F.coalesce("presence", F.lit(1.0))).where(F.col("score") >= limit)
+    half = lambda c, s, size, sign: (F.col(c) + sign * F.col(s) / 2) * F.col(size)
+    out = out.withColumn("x1", F.greatest(F.lit(0.0), half("cx", "w", "width", -1))).withColumn("y1", F.greatest(F.lit(0.0), half("cy", "h", "height", -1)))
+    out = out.withColumn("x2", F.least(F.col("width").cast("double"), half("cx", "w", "width", 1))).withColumn("y2", F.least(F.col("height").cast("double"), half("cy", "h", "height", 1)))
+    out = out.where("x2 - x1 >= 2 and y2 - y1 >= 2")
+    ranked = out.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "x1", "y1", "x2", "y2")))
+    return ranked.where(F.col("_rank") <= most).withColumn("label", F.replace("prompt", F.lit(" "), F.lit("_"))).drop("_rank", "cx", "cy", "w", "h", "logit", "presence_logit", "width", "height")
+
+
 def presence_score(dets: DataFrame, clip: str = "clip") -> DataFrame:
     """Per clip and label the best score times presence (a null presence counts 1)."""
     return dets.groupBy(clip, "label").agg(F.greatest(F.lit(0.0), F.max(F.col("score") * F.coalesce("presence", F.lit(1.0)))).alias("presence_score"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from loomline.functions import distributions, synthetic
 from loomline.functions import geometry as g
 from loomline.operators import cascade as c
-from loomline.operators import frames, matching, splits, statistics, tracks
+from loomline.operators import frames, matching, report, splits, statistics, tracks
+from loomline.plans import config
 from loomline.plans.registry import query, table
 from loomline.sources import adapters, formats
 from loomline.sources.adapters import IMAGE, LABELS, detections
@@ -60,58 +61,40 @@ def box_clip_area(spark, sf_dir):
 
 # --- frames -------------------------------------------------------------------------------
 
-_METERS = "select o_orderkey as clip, (o_orderkey % 240 + 1)::double as duration, (o_orderkey % 5400 + 1)::int as n_frames, (o_orderkey % 30 + 1)::double as fps from orders where o_orderkey % 7 = 0"
+_METERS = "select o_orderkey as clip, (o_orderkey % 240 + 1)::double as duration, (o_orderkey % 5400 + 1)::int as n_frames, (o_orderkey % 30 + 1)::double as fps from orders"
 _GRID = f"""m as ({_METERS}), n as (select *, greatest(1, least(n_frames, 60, floor(duration * fps)))::int as n from m),
 gr as (select clip, duration, fps, n_frames, case when n = 1 then [0] else list_sort(list_distinct(list_transform(range(n), lambda i: round_even(i * (n_frames - 1) / (n - 1)::double, 0)::int))) end as indices, n = 60 as cap_bound from n)"""
 
 
-def _meters(spark, sf_dir, every: int = 7) -> DataFrame:
-    """every: 1 for all orders; the SQL of the queries of the same names without ``_all`` holds one in seven."""
+def _meters(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(k % every == 0).select(k.alias("clip"), (k % 240 + 1).cast("double").alias("duration"), (k % 5400 + 1).cast("int").alias("n_frames"), (k % 30 + 1).cast("double").alias("fps"))
+    return table(spark, sf_dir, "orders").select(k.alias("clip"), (k % 240 + 1).cast("double").alias("duration"), (k % 5400 + 1).cast("int").alias("n_frames"), (k % 30 + 1).cast("double").alias("fps"))
 
 
-def _grid(spark, sf_dir, every: int = 7) -> DataFrame:
-    m = _meters(spark, sf_dir, every)
+def _grid(spark, sf_dir) -> DataFrame:
+    m = _meters(spark, sf_dir)
     return m.withColumn("grid", frames.frame_grid(F.col("duration"), F.col("n_frames"), F.col("fps"), 60)).select(*m.columns, "grid.indices", "grid.cap_bound")
 
 
 @query("frame_grid", f"with {_GRID} select clip, cap_bound, len(indices) as n, list_sum(indices)::bigint as total, array_to_string(indices, ',') as indices from gr")
-def frame_grid(spark, sf_dir, every: int = 7):
+def frame_grid(spark, sf_dir):
     total = F.aggregate("indices", F.lit(0).cast("long"), lambda s, x: s + x)
-    return _grid(spark, sf_dir, every).select("clip", "cap_bound", F.size("indices").cast("long").alias("n"), total.alias("total"), F.array_join("indices", ",").alias("indices"))
-
-
-@query("frame_grid_all")
-def frame_grid_all(spark, sf_dir):
-    return frame_grid(spark, sf_dir, 1)
+    return _grid(spark, sf_dir).select("clip", "cap_bound", F.size("indices").cast("long").alias("n"), total.alias("total"), F.array_join("indices", ",").alias("indices"))
 
 
 @query("keyframes", f"with {_GRID} select clip, array_to_string(list_filter(indices, lambda x, i: (i - 1) % 8 = 0), ',') as keyframes from gr")
-def keyframes(spark, sf_dir, every: int = 7):
-    return _grid(spark, sf_dir, every).select("clip", F.array_join(frames.keyframes(F.col("indices"), 8), ",").alias("keyframes"))
-
-
-@query("keyframes_all")
-def keyframes_all(spark, sf_dir):
-    return keyframes(spark, sf_dir, 1)
+def keyframes(spark, sf_dir):
+    return _grid(spark, sf_dir).select("clip", F.array_join(frames.keyframes(F.col("indices"), 8), ",").alias("keyframes"))
 
 
 @query("chunks", f"""with {_GRID},
-l as (select *, len(indices) as n, case when ceil(duration / 30) > 1 then least(20, greatest(1, ceil(len(indices) / ceil(duration / 30)))) else 20 end::int as len from gr where clip % 3 = 0),
-k as (select *, unnest(range(case when n > len then 1 + ceil((n - len) / (len - 1)::double)::int else 1 end)) as chunk_id from l where len > 1)
-select clip, chunk_id, array_to_string(indices[chunk_id * (len - 1) + 1:chunk_id * (len - 1) + len], ',') as chunk, case when chunk_id > 0 then 1 else 0 end as overlap from k""")
+l as (select *, len(indices) as n, case when ceil(duration / 30) > 1 then least(20, greatest(1, ceil(len(indices) / ceil(duration / 30)))) else 20 end::int as len from gr),
+s as (select *, least(1, len - 1) as lap from l),
+k as (select *, unnest(range(case when n > len then 1 + ceil((n - len) / (len - lap)::double)::int else 1 end)) as chunk_id from s)
+select clip, chunk_id, array_to_string(indices[chunk_id * (len - lap) + 1:chunk_id * (len - lap) + len], ',') as chunk, case when chunk_id > 0 then lap else 0 end as overlap from k""")
 def chunks(spark, sf_dir):
-    d = _grid(spark, sf_dir).where("clip % 3 = 0")
-    d = d.where(frames.chunk_length(F.size("indices"), 20, F.col("duration"), 30.0) > 1)
-    out = frames.chunks(d, "indices", 20, 1, "duration", 30.0)
-    return out.select("clip", "chunk_id", F.array_join("chunk_indices", ",").alias("chunk"), F.col("overlap_with_previous").alias("overlap"))
-
-
-@query("chunks_all")
-def chunks_all(spark, sf_dir):
     """Chunks of all orders' clips. Chunks of one frame have no overlap."""
-    d = _grid(spark, sf_dir, 1)
+    d = _grid(spark, sf_dir)
     length = frames.chunk_length(F.size("indices"), 20, F.col("duration"), 30.0)
     out = frames.chunks(d, "indices", 20, F.least(F.lit(1), length - 1), "duration", 30.0)
     return out.select("clip", "chunk_id", F.array_join("chunk_indices", ",").alias("chunk"), F.col("overlap_with_previous").alias("overlap"))
@@ -119,16 +102,11 @@ def chunks_all(spark, sf_dir):
 
 @query("gold_select", f"""with m as ({_METERS}), n as (select *, greatest(1, least(3, floor(duration / 2.0)::int + 1)) as n, greatest(1, floor(duration * fps)::int) - 1 as last from m)
 select clip, unnest(list_sort(list_distinct(list_transform(range(n), lambda i: least(last, round_even((i + 1) / (n + 1)::double * last, 0)::int))))) as frame from n""")
-def gold_select(spark, sf_dir, every: int = 7):
-    m = _meters(spark, sf_dir, every)
+def gold_select(spark, sf_dir):
+    m = _meters(spark, sf_dir)
     return m.select("clip", F.explode(frames.gold_frames(F.col("duration"), F.col("fps"))).alias("frame"))
 
 
-@query("gold_select_all")
-def gold_select_all(spark, sf_dir):
-    return gold_select(spark, sf_dir, 1)
-
-
 @query("shard_clips", "select s_suppkey as clip from (select s_suppkey, row_number() over (order by s_suppkey) - 1 as r from supplier) where r % 4 = 1")
 def shard_clips(spark, sf_dir):
     return frames.shard(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip")), "clip", 1, 4)
@@ -136,19 +114,14 @@ def shard_clips(spark, sf_dir):
 
 @query("clip_costs", f"""with m as ({_METERS}) select clip, floor(floor(duration * fps) / 8)::int as keyframes, greatest(1, ceil(duration / 30), ceil(floor(duration * fps) / 300))::int as chunks,
   round(floor(floor(duration * fps) / 8) * (0.03 + 5 * 0.31), 6) as seconds, (power(floor(448 / 28), 2) * least(n_frames, 16))::bigint as tokens from m""")
-def clip_costs(spark, sf_dir, every: int = 7):
+def clip_costs(spark, sf_dir):
     from loomline.operators.labels import prompt_seconds
 
-    m = _meters(spark, sf_dir, every)
+    m = _meters(spark, sf_dir)
     k = frames.expected_keyframes(F.col("duration"), F.col("fps"), 8)
     return m.select("clip", k.alias("keyframes"), frames.min_chunks(F.col("duration"), F.col("fps"), 300).alias("chunks"), F.round(prompt_seconds(F.lit(5), k), 6).alias("seconds"), frames.vision_tokens(F.lit(448), F.least("n_frames", F.lit(16))).alias("tokens"))
 
 
-@query("clip_costs_all")
-def clip_costs_all(spark, sf_dir):
-    return clip_costs(spark, sf_dir, 1)
-
-
 # --- labels of clips ----------------------------------------------------------------------
 
 _VOCABULARY = "['click', 'error', 'purchase', 'signup', 'view']"
@@ -334,12 +307,24 @@ def map_macro(spark, sf_dir):
     return matching.mean_average_precision(_ap(spark, sf_dir)).select(_round("map"), "n_averaged", "n_total")
 
 
-@query("recall_per_class")
-def recall_per_class(spark, sf_dir):
-    """No SQL of its own: it is the match of match_table without ignored ground truth; tests hold the exact intervals."""
+def _recall(spark, sf_dir) -> DataFrame:
     d = detections(spark, sf_dir)
-    r = matching.recall(adapters.predictions(d), adapters.gold(d), FRAME, score=0.3)
-    return r.withColumn("i", distributions.clopper_pearson_column(F.col("hits"), F.col("n_pos"))).select("label", "n_pos", "hits", _round("recall"), F.round("i.lo", 9).alias("lo"), F.round("i.hi", 9).alias("hi"))
+    return matching.recall(adapters.predictions(d), adapters.gold(d), FRAME, score=0.3)
+
+
+_MATCH_COUNTED = _MATCH.replace("where det_id % 3 <> 0 group", "where det_id % 3 <> 0 and score >= 0.3::double group").replace("where det_id % 3 = 0 group by all", "where det_id % 3 = 0 and det_id % 21 <> 0 group by all")
+
+
+@query("recall_per_class", f"{_MATCH_COUNTED} select np.label, n_pos, coalesce(h, 0) as hits, round(coalesce(h, 0) / n_pos, 9) as recall from np left join (select label, count(*) filter (is_tp) as h from matched group by label) using (label)")
+def recall_per_class(spark, sf_dir):
+    return _recall(spark, sf_dir).select("label", "n_pos", "hits", _round("recall"))
+
+
+@query("recall_intervals")
+def recall_intervals(spark, sf_dir):
+    """No SQL: the exact intervals need the beta distribution; tests hold published values."""
+    r = _recall(spark, sf_dir)
+    return r.withColumn("i", distributions.clopper_pearson_column(F.col("hits"), F.col("n_pos"))).select("label", "n_pos", "hits", F.round("i.lo", 9).alias("lo"), F.round("i.hi", 9).alias("hi"))
 
 
 @query("hota")
@@ -355,44 +340,35 @@ def hota(spark, sf_dir):
 def bootstrap_map(spark, sf_dir, n_resamples: int = 2000):
     """Sessions are drawn on the driver (one stream of draws); matches are made once and reweighted. No SQL: the draws are a Mersenne twister's."""
     d = detections(spark, sf_dir)
-    sessions = [r[0] for r in d.select("sess").distinct().collect()]
-    weights = statistics.resample_weights(spark, sessions, n_resamples, seed=0).withColumnRenamed("unit", "sess")
+    weights = statistics.resample_weights(d, "sess", n_resamples, seed=0)
     n_pos = adapters.gold(d).groupBy("sess", "label").agg(F.count_if(~F.col("ignore")).alias("n")).join(weights, "sess").groupBy("replicate", "label").agg(F.sum(F.col("n") * F.col("weight")).alias("n_pos"))
     ap = matching.average_precision(_curve_rows(spark, sf_dir).join(weights, "sess"), n_pos, ["replicate", "label"], _order(), weight="weight")
     maps = matching.mean_average_precision(ap, ["replicate"])
     return statistics.percentile_interval(maps, "map", n_resamples).select(_round("lo"), _round("hi"), "n_degenerate")
 
 
+def _precision(spark, sf_dir) -> DataFrame:
+    rows = _matched(spark, sf_dir).join(detections(spark, sf_dir).select("det_id", "sess"), "det_id")
+    tp, one = F.col("is_tp").cast("int"), F.lit(1)
+    side = lambda x, k: F.sum(F.when(F.col("det_id") % 2 == k, x).otherwise(0))
+    return rows.groupBy("sess").agg(side(tp, 0).alias("ta"), side(one, 0).alias("na"), side(tp, 1).alias("tb"), side(one, 1).alias("nb"))
+
+
 @query("permutation_precision", f"""{_MATCH},
 s as (select b.sess, sum(is_tp::int) filter (det_id % 2 = 0) as ta, count(*) filter (det_id % 2 = 0) as na, sum(is_tp::int) filter (det_id % 2 = 1) as tb, count(*) filter (det_id % 2 = 1) as nb
-  from matched join b using (det_id) where b.sess < 10 group by b.sess),
+  from matched join b using (det_id) group by b.sess),
 m as (select mask, sum(case when mask >> s.sess & 1 = 1 then tb else ta end) / sum(case when mask >> s.sess & 1 = 1 then nb else na end)
-  - sum(case when mask >> s.sess & 1 = 1 then ta else tb end) / sum(case when mask >> s.sess & 1 = 1 then na else nb end) as d from range(1024) t(mask), s group by mask)
+  - sum(case when mask >> s.sess & 1 = 1 then ta else tb end) / sum(case when mask >> s.sess & 1 = 1 then na else nb end) as d from range(32768) t(mask), s group by mask)
 select round((select d from m where mask = 0), 9) as diff, round((1 + count(*) filter (round(abs(d), 12) >= (select round(abs(d), 12) from m where mask = 0))) / (1 + count(*)), 9) as p_value, count(*) as n_perm from m""")
 def permutation_precision(spark, sf_dir):
-    """Are even and odd detections equally precise? All swaps of ten sessions, as bit masks."""
-    d = detections(spark, sf_dir).where("sess < 10").select("det_id", "sess")
-    rows = _matched(spark, sf_dir).join(d, "det_id")
-    tp, one = F.col("is_tp").cast("int"), F.lit(1)
-    side = lambda x, k: F.sum(F.when(F.col("det_id") % 2 == k, x).otherwise(0))
-    s = rows.groupBy("sess").agg(side(tp, 0).alias("ta"), side(one, 0).alias("na"), side(tp, 1).alias("tb"), side(one, 1).alias("nb"))
-    masks = statistics.swap_masks(10)
-    both = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("mask")).withColumn("swap", F.expr("shiftright(mask, cast(sess as int)) & 1") == 1)
-    pick = lambda a, b: F.sum(F.when(F.col("swap"), F.col(b)).otherwise(F.col(a)))
-    diffs = both.groupBy("mask").agg((pick("ta", "tb") / pick("na", "nb") - pick("tb", "ta") / pick("nb", "na")).alias("d"))
-    seen = diffs.where("mask = 0").select(F.col("d").alias("o"))
-    at = diffs.crossJoin(F.broadcast(seen)).agg(F.max("o").alias("o"), F.count_if(F.round(F.abs("d"), 12) >= F.round(F.abs("o"), 12)).alias("k"), F.count("*").alias("n_perm"))
-    return at.select(F.round("o", 9).alias("diff"), F.round((1 + F.col("k")) / (1 + F.col("n_perm")), 9).alias("p_value"), "n_perm")
-
-
-@query("permutation_precision_all")
-def permutation_precision_all(spark, sf_dir):
-    """The same over all sessions: all swaps of up to fourteen, else random ones. No SQL: the swaps are a Mersenne twister's."""
-    rows = _matched(spark, sf_dir).join(detections(spark, sf_dir).select("det_id", "sess"), "det_id")
-    tp, one = F.col("is_tp").cast("int"), F.lit(1)
-    side = lambda x, k: F.sum(F.when(F.col("det_id") % 2 == k, x).otherwise(0))
-    s = rows.groupBy("sess").agg(side(tp, 0).alias("ta"), side(one, 0).alias("na"), side(tp, 1).alias("tb"), side(one, 1).alias("nb"))
-    return statistics.paired_permutation(s, "sess").select(_round("diff"), _round("p_value"), "n_perm")
+    """Are even and odd detections equally precise? All swaps of all fifteen sessions."""
+    return statistics.paired_permutation(_precision(spark, sf_dir), "sess", most_exact=15).select(_round("diff"), _round("p_value"), "n_perm")
+
+
+@query("permutation_precision_random")
+def permutation_precision_random(spark, sf_dir):
+    """The same by random swaps, as is the default above fourteen sessions. No SQL: the swaps are a Mersenne twister's."""
+    return statistics.paired_permutation(_precision(spark, sf_dir), "sess").select(_round("diff"), _round("p_value"), "n_perm")
 
 
 # --- statistics ---------------------------------------------------------------------------
@@ -442,8 +418,9 @@ def group_kfold(spark, sf_dir):
     return splits.group_kfold(adapters.clips(detections(spark, sf_dir)), "sess", 5).select("clip", "sess", "fold")
 
 
-@query("balance_report", f"""with {B}, i as (select distinct clip, sess % 5 as fold, label from b where st < 2), g as (select fold, label from (select distinct clip % 15 % 5 as fold from b), (select unnest({_VOCABULARY}) as label))
-select g.fold, g.label, count(i.clip) as n, case when count(i.clip) = 0 then 'absent' when count(i.clip) < 8 then 'few' end as warning from g left join i using (fold, label) group by g.fold, g.label""")
+@query("balance_report", f"""with {B}, i as (select distinct clip, sess % 5 as fold, label from b where st < 2), g as (select fold, label from (select distinct clip % 15 % 5 as fold from b), (select unnest({_VOCABULARY}) as label)),
+c as (select g.fold, g.label, count(i.clip) as n from g left join i using (fold, label) group by g.fold, g.label)
+select *, (sum(n) over (partition by label))::bigint as total, case when n = 0 then 'absent' when sum(n) over (partition by label) < 8 then 'few' end as warning from c""")
 def balance_report(spark, sf_dir):
     items = adapters.clips(detections(spark, sf_dir)).withColumn("fold", F.col("sess") % 5)
     vocabulary = spark.range(1).select(F.explode(F.array(*map(F.lit, LABELS))).alias("label"))
@@ -492,7 +469,7 @@ def gold_class_counts(spark, sf_dir):
     annotated = _gold_frames(spark, sf_dir).where(F.size("exhaustive_for") > 0).select("clip", "frame_ordinal")
     items = adapters.gold(d).join(annotated, ["clip", "frame_ordinal"], "left_semi").select(F.array("label").alias("labels"), F.lit(0).alias("fold"))
     vocabulary = spark.range(1).select(F.explode(F.array(*map(F.lit, LABELS))).alias("label"))
-    return splits.balance(items, "labels", vocabulary).drop("fold")
+    return splits.balance(items, "labels", vocabulary).drop("fold", "total")
 
 
 @query("annotation_budget", f"with {B}, {_FRAMES} select count(*) * 3 as boxes, round_even(count(*) * 3 * 26.5::double / 3600, 1) as hours, round_even(count(*) * 3 * 26.5::double / 3600 / 1.5, 1) as verify_hours from fr")
@@ -516,20 +493,25 @@ def retention(spark, sf_dir):
     return splits.retention(*_sides(spark, sf_dir)).select("class", _round("before", 4), _round("after", 4), _round("delta", 4), _round("relative"))
 
 
-@query("retention_summary", f"with {_SIDES} select round(median((y - x) / x), 9) as median_relative, round(avg((y - x) / x), 9) as mean_relative, 0::bigint as missing_before, 0::bigint as missing_after from o")
+@query("retention_summary", f"""with {_SIDES}, m as (select count(*) as n_held_out, median(x) as mx, median(y) as my, avg(x) as ax, avg(y) as ay from o)
+select n_held_out, round(mx, 4) as median_before, round(my, 4) as median_after, round((my - mx) / mx, 9) as median_relative, round((ay - ax) / ax, 9) as mean_relative, 0::bigint as missing_before, 0::bigint as missing_after,
+  case when (my - mx) / mx < -0.2::double and (ay - ax) / ax > -0.1::double then 'masked' when (my - mx) / mx < -0.25::double then 'fell' end as warning from m""")
 def retention_summary(spark, sf_dir):
-    return splits.retention_summary(splits.retention(*_sides(spark, sf_dir))).select(_round("median_relative"), _round("mean_relative"), "missing_before", "missing_after")
+    return splits.retention_summary(splits.retention(*_sides(spark, sf_dir))).select("n_held_out", _round("median_before", 4), _round("median_after", 4), _round("median_relative"), _round("mean_relative"), "missing_before", "missing_after", "warning")
 
 
 _SWEEP = "w as (select (o_custkey % 11) / 10::double as alpha, avg(o_totalprice) as in_domain, avg(o_totalprice) filter (o_orderkey % 2 = 0) as retention from orders group by 1)"
 
 
+def _sweep(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("alpha", F.col("o_custkey") % 11 / F.lit(10.0))
+    return o.groupBy("alpha").agg(F.avg("o_totalprice").alias("in_domain"), F.avg(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))).alias("retention"))
+
+
 @query("sweep_choice", f"""with {_SWEEP}, f as (select retention * 0.9::double as floor from w where alpha = 0)
 select round(alpha, 3) as alpha, round(in_domain, 4) as in_domain, round(retention, 4) as retention, false as fallback from w, f where retention >= floor order by w.in_domain desc, w.alpha limit 1""")
 def sweep_choice(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("alpha", F.col("o_custkey") % 11 / F.lit(10.0))
-    w = o.groupBy("alpha").agg(F.avg("o_totalprice").alias("in_domain"), F.avg(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))).alias("retention"))
-    return splits.operating_point(w).select(_round("alpha", 3), _round("in_domain", 4), _round("retention", 4), "fallback")
+    return splits.operating_point(_sweep(spark, sf_dir)).select(_round("alpha", 3), _round("in_domain", 4), _round("retention", 4), "fallback")
 
 
 @query("training_schedule", """with c as (select c_nationkey as class, count(*) as n from customer group by 1)
@@ -541,16 +523,31 @@ def training_schedule(spark, sf_dir):
     return n.select("class", splits.lora_rank(F.col("n")).alias("rank"), *(s[x].alias(x) for x in ("steps_per_epoch", "total_steps", "warmup_steps")))
 
 
-@query("coco_targets", f"""with {B} select clip * 10 + frame_ordinal as id, count(*) filter (det_id % 21 <> 0 and det_id % 3 = 0) as n, coalesce(array_to_string(list(li || ':' || round((x1 + (x2 - x1) / 2) / 640, 6)::decimal(10, 6)::varchar order by det_id) filter (det_id % 21 <> 0 and det_id % 3 = 0), ','), '') as boxes from b group by 1""")
+@query("coco_targets", f"""with {B}, i as (select distinct clip * 10 + frame_ordinal as id from b), t as (select clip * 10 + frame_ordinal as id, det_id, li, x1, x2, y1, y2 from b where det_id % 3 = 0 and det_id % 21 <> 0)
+select i.id, det_id as annotation, li as label, round((x1 + (x2 - x1) / 2) / 640, 9) as cx, round((y1 + (y2 - y1) / 2) / 480, 9) as cy, round((x2 - x1) / 640, 9) as w, round((y2 - y1) / 480, 9) as h from i left join t using (id)""")
 def coco_targets(spark, sf_dir):
+    """A row for each target; an image without any has one of nulls."""
     d = detections(spark, sf_dir).withColumn("image_id", F.col("clip") * 10 + F.col("frame_ordinal"))
     images = d.select(F.col("image_id").alias("id")).distinct().withColumns({"width": F.lit(IMAGE[0]), "height": F.lit(IMAGE[1])})
-    categories = spark.range(1).select(F.inline(formats.categories(F.array(*map(F.lit, LABELS)))))
+    categories = formats.category_table(spark, list(LABELS))
     boxes = adapters.gold(d)
     annotations = formats.coco_annotations(boxes.withColumn("image_id", F.struct("image_id", "det_id")), categories).select("image_id.image_id", F.col("image_id.det_id").alias("id"), "category_id", "bbox", "iscrowd")
-    t = formats.coco_targets(images, annotations)
-    shown = F.transform("targets", lambda x: F.concat_ws(":", x["label"], F.round(x["cx"], 6).cast("decimal(10,6)").cast("string")))
-    return t.select("id", F.size("targets").cast("long").alias("n"), F.array_join(shown, ",").alias("boxes"))
+    t = formats.coco_targets(images, annotations).select("id", F.explode_outer("targets").alias("t"))
+    return t.select("id", "t.annotation", "t.label", *(F.round(f"t.{c}", 9).alias(c) for c in ("cx", "cy", "w", "h")))
+
+
+@query("coco_index", f"with {B}, c as (select unnest({_VOCABULARY}) as name, unnest(range(1, 6))::int as category_id) select category_id, name, count(det_id) as n, count(distinct clip * 10 + frame_ordinal) filter (det_id is not null) as images from c left join (select * from b where det_id % 3 = 0) g on g.label = c.name group by category_id, name")
+def coco_index(spark, sf_dir):
+    d = adapters.gold(detections(spark, sf_dir)).withColumn("image_id", F.col("clip") * 10 + F.col("frame_ordinal"))
+    categories = formats.category_table(spark, list(LABELS))
+    return formats.index_coverage(d.select("image_id").distinct(), formats.coco_annotations(d, categories), categories)
+
+
+@query("coco_annotations", f"""with {B} select (row_number() over (order by clip, frame_ordinal, det_id))::int as id, clip * 10 + frame_ordinal as image_id, (li + 1)::int as category_id, x1 as x, y1 as y, x2 - x1 as w, y2 - y1 as h, (x2 - x1) * (y2 - y1) as area, (det_id % 21 = 0)::int as iscrowd from b where det_id % 3 = 0""")
+def coco_annotations(spark, sf_dir):
+    d = adapters.gold(detections(spark, sf_dir)).withColumn("image_id", F.col("clip") * 10 + F.col("frame_ordinal"))
+    a = formats.numbered_annotations(d, formats.category_table(spark, list(LABELS)), ["clip", "frame_ordinal", "det_id"])
+    return a.select("id", "image_id", "category_id", *(F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")), "area", "iscrowd")
 
 
 @query("tao_videos", f"""with {B}, q as (select clip, list(distinct label) filter (st < 2) as p, list(distinct label) filter (st < 4) as a from b group by clip)
@@ -566,3 +563,89 @@ def tao_videos(spark, sf_dir):
 @query("synthetic_units", "select event_id, round(('0x' || substr(sha256('unit|' || event_id), 1, 13))::bigint / 4503599627370496::double, 12) as u from events")
 def synthetic_units(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(synthetic.unit(F.lit("unit"), F.col("event_id")), 12).alias("u"))
+
+
+# --- summaries, warnings, choices -----------------------------------------------------------
+
+
+@query("cascade_summary", f"""with {B}, {_KEPT}, l as (select clip, list(distinct label) filter (st < 2) as labels, list(distinct label) filter (reason = 'kept') as k from verdicts group by clip)
+select 'reason' as kind, reason as name, count(*) as n from verdicts group by reason
+union all select 'never_found', x, count(*) from (select unnest(list_filter(coalesce(labels, []), lambda x: not list_contains(coalesce(k, []), x))) as x from l) group by x""")
+def cascade_summary(spark, sf_dir):
+    return c.summary(adapters.clips(detections(spark, sf_dir)), _verdicts(spark, sf_dir))
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    return detections(spark, sf_dir).select(F.bround("score", 1).alias("score"), (F.col("st") < 2).alias("is_positive"), (F.col("sess") % 5).alias("fold"))
+
+
+@query("global_threshold", f"""with {B}, p as (select round_even(score, 1) as score, st < 2 as pos from b), t as (select distinct round_even(score, 4) as threshold from p),
+c as (select threshold, count(*) filter (pos and score >= threshold) as tp, count(*) filter (not pos and score >= threshold) as fp, count(*) filter (pos and score < threshold) as fn from t, p group by threshold)
+select round(threshold, 4) as threshold, round(case when tp = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 9) as f1 from c order by f1 desc, threshold limit 1""")
+def global_threshold(spark, sf_dir):
+    """Over pooled out-of-fold scores; the grid is the distinct scores, as these are few."""
+    return splits.choose_threshold(_scores(spark, sf_dir)).select(_round("threshold", 4), _round("f1"))
+
+
+@query("held_out_classes", "with v(name, boxes) as (select unnest(['beaker', 'conical_flask', 'round_bottom_flask', 'volumetric_flask', 'measuring_cylinder', 'test_tube', 'test_tube_holder', 'microscope']), true union all select unnest(['pipette', 'centrifuge', 'autoclave', 'spectrophotometer', 'orbital_shaker', 'fume_hood', 'analytical_balance']), false) select name, (row_number() over (order by not boxes, name))::int as place from v where name <> 'beaker' order by place limit 6")
+def held_out_classes(spark, sf_dir):
+    from loomline.functions.vocabulary import vocabulary
+
+    return splits.held_out_classes(vocabulary(spark), 6, keep=("beaker",))
+
+
+@query("memory_schedule", "select (row_number() over (order by t, s, n))::int as place, s as frame_size, n as n_frames, t as tokens from (select s, n, (floor(s / 28) * floor(s / 28) * n)::bigint as t from (select unnest([336, 448, 560, 672, 1008]) as s), (select unnest([1, 4, 8, 16]) as n))")
+def memory_schedule(spark, sf_dir):
+    return frames.memory_schedule(spark)
+
+
+@query("spread_vs_depth", "select n_clips, n_frames, round(1 + (n_frames - 1) * icc, 9) as deff, round(n_clips * n_frames / (1 + (n_frames - 1) * icc), 9) as n_eff from (select c_nationkey as n_frames0, count(*)::int as n_clips, (c_nationkey + 1)::int as n_frames, 0.6::double as icc from customer group by all)")
+def spread_vs_depth(spark, sf_dir):
+    k = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").cast("int").alias("n_clips")).withColumn("n_frames", (F.col("c_nationkey") + 1).cast("int"))
+    worth = statistics.spread_vs_depth(F.col("n_clips"), F.col("n_frames"), F.lit(0.6))
+    return k.select("n_clips", "n_frames", F.round(worth["deff"], 9).alias("deff"), F.round(worth["n_eff"], 9).alias("n_eff"))
+
+
+@query("sweep_dominating", f"""with {_SWEEP}, e as (select max(in_domain) as i, max(retention) as r from w where alpha in (0, 1))
+select round(alpha, 3) as alpha, round(in_domain, 4) as in_domain, round(retention, 4) as retention from w, e where in_domain > i and retention > r""")
+def sweep_dominating(spark, sf_dir):
+    return splits.dominating(_sweep(spark, sf_dir)).select(_round("alpha", 3), _round("in_domain", 4), _round("retention", 4))
+
+
+def _judged(spark, sf_dir):
+    """Predictions, ground truth and gold frames, sessions being eight rooms."""
+    d = detections(spark, sf_dir).withColumn("sess", F.col("clip") % 8)
+    gold = adapters.gold(d)
+    frames_ = gold.groupBy("clip", "frame_ordinal", "sess").agg(F.sort_array(F.collect_set(F.when(F.col("li") < 3, F.col("label")))).alias("exhaustive_for"))
+    return adapters.predictions(d), gold, frames_
+
+
+@query("gold_warnings", f"""with {B}, fr as (select clip, frame_ordinal, list(distinct label) filter (li < 3) as ex from b where det_id % 3 = 0 group by all), n as (select count(*) as n, count(*) filter (len(ex) > 0) as d from fr),
+g as (select label, count(*) as n from b join fr using (clip, frame_ordinal) where det_id % 3 = 0 and len(ex) > 0 group by label)
+select '0' as place, (n - d) || ' of ' || n || ' frames are not annotated; scoring would take them for empty' as warning from n where n > d
+union all select '1', 'only 8 sessions, which the width of the interval rests on'
+union all select '2' || v.label, case when coalesce(n, 0) = 0 then 'class ' || v.label || ' has no gold boxes' else 'class ' || v.label || ' has only ' || n || ' gold boxes' end from (select unnest({_VOCABULARY}) as label) v left join g using (label) where coalesce(n, 0) < 8""")
+def gold_warnings(spark, sf_dir):
+    _, gold, frames_ = _judged(spark, sf_dir)
+    vocabulary = spark.range(1).select(F.explode(F.array(*map(F.lit, LABELS))).alias("label"))
+    return report.gold_warnings(frames_, gold, vocabulary)
+
+
+@query("score_report")
+def score_report(spark, sf_dir):
+    """No SQL: resampled intervals. Tests hold its parts against the operators' and loops."""
+    found = report.score(*_judged(spark, sf_dir))
+    return found.select(_round("map"), "n_averaged", "n_total", _round("lo"), _round("hi"), "ci_trustworthy", "n_sessions", "n_gold_frames", "n_gold_boxes", "test", _round("kish_design_effect"), "kept", "dropped_unannotated_frame", "dropped_class_not_checked", F.to_json("warnings").alias("warnings"))
+
+
+@query("compare_report")
+def compare_report(spark, sf_dir):
+    """Even against odd detections as two systems, by all swaps of eight rooms. No SQL: a macro average for each swap."""
+    p, gold, frames_ = _judged(spark, sf_dir)
+    found = report.compare(p.where("det_id % 2 = 0"), p.where("det_id % 2 = 1"), gold, frames_)
+    return found.select(_round("map_a"), _round("map_b"), _round("diff"), _round("p_value"), "exact", "n_perm", _round("sd"), _round("minimum_detectable"), "resolvable", F.to_json("warnings").alias("warnings"))
+
+
+@query("provenance_report", "select * from (values ('verified', {V}::bigint), ('estimated', {E}::bigint), ('unmeasured', {U}::bigint)) t(provenance, n)".format(V=sum(t == "verified" for *_, t in config.DEFAULTS), E=sum(t == "estimated" for *_, t in config.DEFAULTS), U=sum(t == "unmeasured" for *_, t in config.DEFAULTS)))
+def provenance_report(spark, sf_dir):
+    return config.provenance_report(spark).drop("paths")

@@ -64,17 +64,17 @@ def hard_negatives(spark, sf_dir):
 _GENERIC = ["object", "instrument"]
 
 
-@query("prompt_plan", f"with {_V}, {_CLIPS}, {_HARD}, g as (select clip, labels, hard, greatest(0, 5 - len(labels)) as rest, least(2, greatest(0, 5 - len(labels)) // 2) as n from c join h using (clip)) select clip, array_to_string(labels || ({_list(_GENERIC)})[1:n] || hard[1:rest - n], ',') as prompts from g")
+@query("prompt_plan", f"with {_V}, {_CLIPS}, {_HARD}, g as (select clip, labels, hard, greatest(0, 5 - len(labels)) as rest, least(2, greatest(0, 5 - len(labels)) // 2) as n from c join h using (clip)) select clip, array_to_string(list_transform(({_list(_GENERIC)})[1:n] || labels || hard[1:rest - n], lambda x: replace(x, '_', ' ')), ',') as prompts from g")
 def prompt_plan(spark, sf_dir):
     c = labels.hard_negatives(_clips(spark, sf_dir), vocabulary(spark))
     return labels.prompt_plan(c, _GENERIC).select("clip", F.array_join("prompts", ",").alias("prompts"))
 
 
-@query("naming_margin", """with c as (select event_id as det_id, 'class ' || k as label, ((event_id * (k + 3) * 7919) % 1009) / 1009::double as score from events, range(4) t(k)),
+@query("naming_margin", """with c as (select event_id as det_id, 'class ' || k as label, ((event_id * (k + 3) * 7919) % 1009) / 1009::double as score from events, range(4) t(k) where k <= event_id % 4),
 r as (select *, row_number() over w as n, lead(score) over w as nx from c window w as (partition by det_id order by score desc, label))
-select det_id, label, round(score, 9) as score, round(coalesce(score - nx, 0), 9) as margin, score >= 0.35::double and coalesce(score - nx, 0) >= 0.10::double as decided from r where n = 1""")
+select det_id, label, round(score, 9) as score, round(score - coalesce(nx, 0), 9) as margin, score >= 0.35::double and score - coalesce(nx, 0) >= 0.10::double as decided from r where n = 1""")
 def naming_margin(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("det_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("det_id"), F.explode(F.sequence(F.lit(0), F.col("event_id") % 4)).alias("k"))
     c = e.select("det_id", F.concat(F.lit("class "), F.col("k")).alias("label"), (F.col("det_id") * (F.col("k") + 3) * 7919 % 1009 / F.lit(1009.0)).alias("score"))
     return labels.name_by_margin(c).select("det_id", "label", F.round("score", 9).alias("score"), F.round("margin", 9).alias("margin"), "decided")
 

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,16 +131,36 @@ def test_statistics(spark):
     assert statistics.kish(same, "w").first().design_effect == pytest.approx(1.0)
     assert statistics.icc(spark.createDataFrame([(1, 2.0), (2, 3.0)], "c int, v double"), "c", "v").first().icc is None
     assert len(statistics.swap_masks(9)) == 512
-    w = statistics.resample_weights(spark, [3, 1, 2], 10, 0)
+    assert statistics.swap_masks(2) == ["00", "01", "10", "11"]
+    names = spark.createDataFrame([("c",), ("a",), ("b",), ("a",)], "unit string")
+    w = statistics.resample_weights(names, "unit", 10, 0)
+    rng = random.Random(0)
+    drawn = Counter((k, "abc"[rng.randrange(3)]) for k in range(10) for _ in range(3))
+    assert {(r.replicate, r.unit): r.weight for r in w.collect()} == drawn
     assert w.groupBy("replicate").agg(F.sum("weight").alias("n")).where("n <> 3").count() == 0
 
 
+def test_permutations_of_many_groups(spark):
+    """More groups than a long has bits, with string names, by the draws of a loop."""
+    rng = random.Random(4)
+    per = {f"s{i}": [rng.randrange(0, 9), 10, rng.randrange(0, 9), 10] for i in range(70)}
+    df = spark.createDataFrame([(k, *v) for k, v in per.items()], "g string, ta long, na long, tb long, nb long")
+    got = statistics.paired_permutation(df, "g").first()
+    names, draw = sorted(per), random.Random(0)
+    total = lambda swapped: sum((b - a if s else a - b) for s, (a, _, b, _) in swapped) / 700
+    seen = total([(False, per[n]) for n in names])
+    more = sum(round(abs(total([(draw.random() < 0.5, per[n]) for n in names])), 12) >= round(abs(seen), 12) for _ in range(10_000))
+    assert got.n_perm == 10_000 and got["diff"] == pytest.approx(seen) and got.p_value == pytest.approx((1 + more) / 10_001)
+
+
 def test_stitching(spark):
     p = lambda f, x: (f, float(x), 0.0, float(x + 10), 10.0, 0.5)
     rows = [(1, "a", 0, 1, "h", 0.2, [p(0, 0), p(1, 1)]), (1, "a", 1, 1, "h", None, [p(1, 2), p(2, 3)]), (1, "a", 1, 2, "h", 0.4, [p(1, 50)]), (1, "b", 0, 2, "h", None, [p(0, 0)])]
     parts = spark.createDataFrame(rows, "clip long, label string, chunk int, place int, box_source string, fragmentation double, points array<struct<frame:long,x1:double,y1:double,x2:double,y2:double,score:double>>")
     got = {r.track_id: (r.label, r.chunk_ids, [q.frame for q in r.points]) for r in tracks.stitch(parts).collect()}
     assert got == {1: ("a", [0, 1], [0, 1, 2]), 2: ("b", [0], [0]), 3: ("a", [1], [1])}
+    named = tracks.stitch(parts.withColumn("clip", F.lit("clip one")))
+    assert {(r.clip, r.track_id) for r in named.collect()} == {("clip one", i) for i in (1, 2, 3)}
 
 
 def test_formats(spark, tmp_path):
@@ -192,13 +213,13 @@ def test_permutation_over_all_sessions(spark):
     def diff(mask):
         x, y = [0, 0], [0, 0]
         for i, k in enumerate(sessions):
-            a, b = per[k][::-1] if mask >> i & 1 else per[k]
+            a, b = per[k][::-1] if mask[i] == "1" else per[k]
             x, y = [x[0] + a[0], x[1] + a[1]], [y[0] + b[0], y[1] + b[1]]
         return x[0] / x[1] - y[0] / y[1]
 
-    seen = diff(0)
+    seen = diff("0" * len(sessions))
     more = sum(round(abs(diff(m)), 12) >= round(abs(seen), 12) for m in masks)
-    got = registry.QUERIES["permutation_precision_all"](spark, DATA).first()
+    got = registry.QUERIES["permutation_precision_random"](spark, DATA).first()
     assert len(sessions) > 10 and got.n_perm == len(masks)
     assert got["diff"] == pytest.approx(seen, abs=1e-8) and got.p_value == pytest.approx((1 + more) / (1 + len(masks)), abs=1e-8)
 
@@ -208,12 +229,12 @@ def test_all_orders_are_clips(spark):
     """The queries over all orders: every clip, and every frame of its grid in its chunks."""
     orders = {r[0] for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()}
     run = lambda name: registry.QUERIES[name](spark, DATA).collect()
-    grid = {r.clip: r.indices.split(",") for r in run("frame_grid_all")}
+    grid = {r.clip: r.indices.split(",") for r in run("frame_grid")}
     assert set(grid) == orders
-    for name in ("keyframes_all", "gold_select_all", "clip_costs_all"):
+    for name in ("keyframes", "gold_select", "clip_costs"):
         assert {r.clip for r in run(name)} == orders
     parts, single = {}, 0
-    for r in sorted(run("chunks_all")):
+    for r in sorted(run("chunks")):
         chunk = r.chunk.split(",")
         single += len(chunk) == 1
         parts.setdefault(r.clip, []).extend(chunk[r.overlap :])
