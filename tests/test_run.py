@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomline.functions.stand_ins import Classifier, Detector, Propagator
 from loomline.functions.vocabulary import CLASSES, vocabulary
 from loomline.operators import cascade, labels
-from loomline.operators.run import run_clips
+from loomline.operators.run import run_clips, written
 from loomline.plans.config import Settings
 from loomline.sources import formats
 
@@ -89,7 +89,7 @@ def _loop(clip, names, hit_rate):
 
 def test_run_against_a_loop(spark):
     given = clips(spark)
-    run = run_clips(given, vocabulary(spark), SETTINGS, Detector((448, 448), hit_rate=0.85), Propagator())
+    run = run_clips(given, vocabulary(spark), SETTINGS, Detector((448, 448), hit_rate=0.85), Propagator(), keep=written(spark))
     got = {r.clip_id: r for r in run.summaries().collect()}
     for c in given.collect():
         n, reasons, never = _loop(c.clip_id, c.labels, 0.85)
@@ -108,14 +108,14 @@ def test_guards_and_second_detector(spark):
     with pytest.raises(ValueError, match="masks"):
         run_clips(clips(spark, 1), vocabulary(spark), SETTINGS, Detector(from_head=False), Propagator())
     cascade.head_boxes(False, required=False)
-    one = run_clips(clips(spark, 2), vocabulary(spark), SETTINGS, Detector((448, 448), 1.0), Propagator())
+    one = run_clips(clips(spark, 2), vocabulary(spark), SETTINGS, Detector((448, 448), 1.0), Propagator())  # all is one plan
     same = run_clips(clips(spark, 2), vocabulary(spark), SETTINGS, Detector((448, 448), 1.0), Propagator(), second=Detector((448, 448), 1.0))
     other = run_clips(clips(spark, 2), vocabulary(spark), SETTINGS, Detector((448, 448), 1.0), Propagator(), second=Detector((448, 448), 0.0))
     assert same.detections.count() == one.detections.count() > 0 and other.detections.count() == 0
 
 
 def test_naming(spark, tmp_path):
-    run = run_clips(clips(spark, 3), vocabulary(spark), SETTINGS, Detector((448, 448), 1.0), Propagator(), Classifier(favour={"beaker": 3.0, "microscope": 3.0}))
+    run = run_clips(clips(spark, 3), vocabulary(spark), SETTINGS, Detector((448, 448), 1.0), Propagator(), Classifier(favour={"beaker": 3.0, "microscope": 3.0}), keep=written(spark))
     total = run.report().first()
     assert total.crops_named > 0
     for r in run.named.collect():
