@@ -17,6 +17,8 @@ row belongs to, and rows in the held-out part (crc32 of the id as text, modulo
 Defined results: a null text counts as empty and gets a score as well; a label
 that is null is none; a document's repeated labels count one each. With no
 labels at all each score is 0.5; with one kind of label, that label's smoothed share.
+Long texts count whole; repeated rows score alike, and an empty table stays empty.
+Other columns of any name but the score's pass through.
 """
 
 from __future__ import annotations
@@ -77,6 +79,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out += [_spread(kind[data], offsets) / some for kind in KINDS]
     same = np.zeros(len(data))
     same[1:] = data[1:] == data[:-1]
+    same[offsets[:-1][size > 0]] = 0  # a text's first byte has none before it
     out.append(_spread(same, offsets) / some)
 
     words = word_hashes(data, offsets)
