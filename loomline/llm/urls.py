@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from loomline.llm.common import masked, unmasked
 
 TOKEN_GAP = "[^a-z0-9]+"
+#: Rules' tokens of so many bytes together are broadcast to the URLs' tokens before these are counted; more are joined with their counts.
+BROADCAST_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -108,7 +110,12 @@ def _index(held: DataFrame, rules: tuple[Rule, ...]) -> Column:
     table = spark.createDataFrame(told, _RULE)
     needed = table.select("_id", F.explode("_tokens").alias("_token"))
     tokens = held.select(F.explode(_tokens(F.col("_at"))).alias("_token"))
-    counts = tokens.join(needed.select("_token").distinct(), "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("_n"))
+    own = {t for r in rules for t in r.tokens or ("",)}
+    listed = spark.createDataFrame([(t,) for t in sorted(own)], "_token string")
+    if sum(map(len, own)) <= BROADCAST_BYTES:
+        counts = tokens.join(F.broadcast(listed), "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("_n"))
+    else:
+        counts = tokens.groupBy("_token").agg(F.count("*").alias("_n")).join(listed, "_token", "left_semi")
     rarest = needed.join(counts, "_token", "left").groupBy("_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_token")).alias("_rarest"))
     rule = F.struct(F.col("_rarest._token").alias("token"), F.col("_pattern").alias("pattern"), F.struct("_order", "_name", "_verdict").alias("told"))
     filed = table.join(rarest, "_id").select(F.pmod(F.xxhash64("_rarest._token"), F.lit(len(rules))).cast("int").alias("_bucket"), rule.alias("_rule"))
