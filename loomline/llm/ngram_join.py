@@ -250,7 +250,8 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     out = sets.join(classes, ["hi", "lo"], "left").join(found, F.col("rep") == F.col("node"), "left")
     out = out.select("_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("_id")).alias("component_id"))
-    space.drop("posted", "placed")
+    out = space.table("result", out)
+    space.drop_all_but("result")
     return out
 
 

@@ -9,7 +9,9 @@ overlap; one that is too short is dropped after it has taken its characters.
 Needed of a rule: of two matches, the one that starts first can also end first.
 It holds for patterns that end in a class and don't hold themselves.
 
-Rows are independent: no shuffle. A null text counts as empty.
+Rows are independent: no shuffle. Defined results: a null or empty text has no matches;
+repeated rows and ties give equal results, an empty table an empty one. Long texts are
+read whole. Of other columns only the key is kept.
 """
 
 from __future__ import annotations
