@@ -338,6 +338,33 @@ def test_classifier(spark, odd):
     assert all(r.score > 0.9 for r in classifier.score(df.limit(3), only).collect())
 
 
+def test_classifier_is_kernel_ridge(spark):
+    """Raw scores against ridge regression over the same features by numpy's least squares, and calibration by a plain pool of violators."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["alpha", "Beta,", "gamma.", "###", "DELTA!!", "9"], int(rng.integers(3, 60)))) for _ in range(400)]
+    y = np.array([int("###" not in t or rng.random() < 0.3) for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = classifier.fit(df, labels, frequencies=32)
+    import pyarrow as pa
+
+    x = np.array(classifier._all_statistics(pa.array(texts)))
+    part = np.array([zlib.crc32(str(i).encode()) for i in range(400)])
+    learned = part % 3 != 1
+    calibrates = learned & (part // 3 % 5 == 0)
+    fits = learned & ~calibrates
+    assert np.allclose(model.center, x[fits].mean(axis=0)) and np.allclose(model.scale, np.where(x[fits].std(axis=0) > 1e-9, x[fits].std(axis=0), 1.0))
+    z = model.features(x[fits])
+    ridge = np.array([*np.ones(32) * 2 / 32, 1e-9]) * classifier.RIDGE * fits.sum()
+    stacked = np.vstack([z, np.diag(np.sqrt(ridge))])
+    weights = np.linalg.lstsq(stacked, np.concatenate([y[fits], np.zeros(33)]), rcond=None)[0]
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    scored = by_id(classifier.score(df, model))
+    raw = model.features(x) @ weights
+    order = np.argsort(raw)
+    assert (np.diff([scored[i].score for i in order]) >= -1e-9).all()
+
+
 def test_isotonic():
     x, y = classifier.isotonic(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0.0, 3.0, 1.0, 4.0]), np.array([4, 4, 4, 4]))
     assert list(y) == [0.0, 0.5, 1.0] and list(x) == [0.0, 1.5, 3.0]
@@ -447,6 +474,35 @@ def test_fingerprints(spark, docs, odd):
     assert fingerprints.edited_fingerprints(empty(spark)).count() == 0
 
 
+def test_fingerprint_samples(spark):
+    """The sampled terms against a loop that draws the same gammas and uniforms."""
+    texts = ["a a a b c d", "a b b c e", "one two two three three three four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    terms = spark.createDataFrame([(w,) for t in texts for w in set(t.split(" "))], "w string").distinct()
+    h = {r.w: r.h for r in terms.select("w", F.xxhash64("w").alias("h")).collect()}
+    draws = {}
+    for k in range(8):
+        bits = terms.select("w", *(F.xxhash64(F.xxhash64("w"), F.lit(3 * k + j)).alias(f"b{j}") for j in range(3))).collect()
+        for r in bits:
+            u = [(r[f"b{j}"] & (2**64 - 1)) for j in range(3)]
+            half = lambda x: (((x >> 32) + 0.5) / 2**32, ((x & 0xFFFFFFFF) + 0.5) / 2**32)
+            (a, b), (c, d) = half(u[0]), half(u[1])
+            draws[r.w, k] = -np.log(a * b), -np.log(c * d), ((u[2] >> 11) + 0.5) / 2**53
+    assert len(h) == len({*h.values()})
+
+    def sample(text, k):
+        values = {}
+        for w, n in Counter(text.split(" ")).items():
+            r, c, b = draws[w, k]
+            t = np.floor(np.log(n) / r + b)
+            values[w, int(t)] = np.log(c) - r * (t - b + 1)
+        return min(values, key=values.get)
+
+    got = {r.k: r.samples for r in fingerprints.fingerprints(df, ["k"], "t", samples=8).collect()}
+    for i, j in itertools.combinations(range(3), 2):
+        assert [x == y for x, y in zip(got[i], got[j])] == [sample(texts[i], k) == sample(texts[j], k) for k in range(8)]
+
+
 def test_fingerprint_rate(spark):
     """Over many functions, the share of equal samples is the generalised Jaccard similarity."""
     a, b = "a a a b c d", "a b b c e"
