@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomline.llm.common import named
+from loomline.llm.common import named, tidy
 
 #: Longest piece given to the library where a safe place to cut exists near, in characters.
 PIECE = 65_536
@@ -99,7 +99,7 @@ def encode_column(docs: DataFrame, text: str = "text", ids: str = "ids", ranks_p
             added = [_lists(coded), *([pa.array([decode(enc, i) == x.encode() for i, x in zip(coded, raw)], pa.bool_())] if verified else [])]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *added], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
 
 
 def decode_column(docs: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def decode_column(docs: DataFrame, ids: str = "ids", out: str = "decoded", ranks
                 found = [decode(enc, x.values.to_numpy()) if x.is_valid else None for x in part.column(0)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.binary())], names=schema.names)
 
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -136,4 +136,4 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path
                 decoded.append(hashlib.sha256(decode(enc, ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

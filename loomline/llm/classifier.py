@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.bytewords import word_hashes
-from loomline.llm.common import Workspace, blocks, text_bytes
+from loomline.llm.common import Workspace, blocks, text_bytes, tidy
 
 FREQUENCIES = 384
 RIDGE = 1e-3
@@ -137,7 +137,7 @@ N_STATISTICS = statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
 
 def _all_statistics(column: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(column)
-    found = [statistics(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]) for a, z in blocks(offsets)]
+    found = [statistics(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]) for a, z in blocks(offsets, 1 << 19)]
     return np.concatenate(found) if found else np.zeros((0, N_STATISTICS))
 
 
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), _array(_all_statistics(batch.column(1)))], names=["_id", "_x"])
 
     ids = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).where(~held_out(F.col("_id")))
-    stats = ids.mapInArrow(measure, f"_id {docs.schema[doc_id].dataType.simpleString()}, _x array<double>")
+    stats = ids.mapInArrow(tidy(measure), f"_id {docs.schema[doc_id].dataType.simpleString()}, _x array<double>")
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull())
     rows = space.table("rows", stats.join(known, "_id").select("_x", "_y", (F.floor(_remainder(F.col("_id")) / 3) % 5 == 0).alias("_calibrates")))
 
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def add(table):
         return pa.table({"i": table["i"][:1], "v": _array(_matrix(table["v"].combine_chunks(), width).sum(axis=0, keepdims=True))})
 
-    sums = fitting.select("_x", "_y").mapInArrow(equations, "i int, v array<double>").groupBy("i").applyInArrow(add, "i int, v array<double>")
+    sums = fitting.select("_x", "_y").mapInArrow(tidy(equations), "i int, v array<double>").groupBy("i").applyInArrow(add, "i int, v array<double>")
     whole = np.array([v for _, v in sorted((r["i"], r["v"]) for r in sums.collect())])  # width x width numbers
     a, b = whole[:-1, :-1], whole[:-1, -1]
     model.weights = np.linalg.solve(a + ridge * n * np.diag([*np.ones(frequencies) * 2 / frequencies, 1e-9]), b)
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             at = np.floor(np.clip(raw, -1, 2) / 3 * BINS).astype(int)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw), batch.column(1)], names=["bin", "raw", "y"])
 
-    calibrating = rows.where("_calibrates").select("_x", "_y").mapInArrow(bins, "bin int, raw double, y double")
+    calibrating = rows.where("_calibrates").select("_x", "_y").mapInArrow(tidy(bins), "bin int, raw double, y double")
     found = sorted(tuple(r) for r in calibrating.groupBy("bin").agg(F.avg("raw"), F.sum("y"), F.count("*")).collect())
     if found:
         _, x, y, k = map(np.array, zip(*found))
@@ -266,4 +266,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(_all_statistics(batch.column(at))))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

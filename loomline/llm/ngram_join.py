@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.bytewords import mix, shingle_hashes, word_hashes
-from loomline.llm.common import WORD, Workspace, blocks, parts_for, text_bytes
+from loomline.llm.common import WORD, Workspace, blocks, parts_for, text_bytes, tidy
 from loomline.llm.components import components
 from loomline.llm.postings import CHUNK, cells, shared
 
@@ -84,7 +84,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE)
             s = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (*_owners(s).T, s[:, 2]))], names=["_id", "hi", "lo", "n"])
 
-    return rows.mapInArrow(run, "_id long, hi long, lo long, n long")
+    return rows.mapInArrow(tidy(run), "_id long, hi long, lo long, n long")
 
 
 def _send(docs: DataFrame, text: str, size: int, parts: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _send(docs: DataFrame, text: str, size: int, parts: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(text).alias("_t")).mapInArrow(run, "part int, cell binary")
+    return docs.select(F.col(text).alias("_t")).mapInArrow(tidy(run), "part int, cell binary")
 
 
 def _answer(parts: int):
@@ -215,7 +215,7 @@ def _verify(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * o >= percent * (n.as_py() + m.as_py() - o))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
 
-    return both.mapInArrow(run, "u long, v long, linked boolean")
+    return both.mapInArrow(tidy(run), "u long, v long, linked boolean")
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -225,10 +225,10 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("rep"))
 
     sent = _send(docs, text, size, parts).repartitionById(parts, F.col("part"))
-    answered = sent.mapInArrow(_answer(parts), "part int, cell binary").repartitionById(parts, F.col("part"))
-    ordered = answered.mapInArrow(_order(percent), "hi long, lo long, n long, posted long, tokens binary")
+    answered = sent.mapInArrow(tidy(_answer(parts)), "part int, cell binary").repartitionById(parts, F.col("part"))
+    ordered = answered.mapInArrow(tidy(_order(percent)), "hi long, lo long, n long, posted long, tokens binary")
     ordered = space.table("ordered", ordered.join(classes.where("rep is not null"), ["hi", "lo"]).select("rep", "n", "posted", "tokens"))
-    posted = ordered.mapInArrow(_post, _POSTING)
+    posted = ordered.mapInArrow(tidy(_post), _POSTING)
     held = posted.groupBy("token").agg(F.count("*").alias("_k")).where("_k > 1").select("token")
     posted = space.table("posted", posted.join(held, "token"))
 
