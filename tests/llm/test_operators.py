@@ -3,17 +3,21 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomline.llm import bpe, classifier, fingerprints, line_dedup, mixing, ngram_join, quality, secrets, token_files, urls
+from loomline.llm.common import CLEANUP, Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -293,6 +297,31 @@ def test_line_dedup_large_groups(spark):
         assert (got[i].removed_lines or []) == want.get(i, [])
 
 
+def test_line_dedup_word_ranks(spark):
+    """The order of what is posted comes from the words of all documents: each one's words count."""
+    texts = [f"own{i} shared words\nown{i} again" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, _t string").repartition(3)
+    ranks = line_dedup._word_ranks(line_dedup._occurrences(df).where("at is not null").select("at", "counts"))
+    column = pa.array([" ".join(texts)])
+    counts = np.zeros(line_dedup.BUCKETS, np.int64)
+    for x in line_dedup._lines(column):
+        np.add.at(counts, line_dedup._bucket(x.hashes), 1)
+    assert counts.sum() == 5 * 40 and (ranks == np.minimum(np.log2(counts + 1) * 6, 255).astype(np.uint64)).all()
+    assert line_dedup._word_ranks(line_dedup._occurrences(df.limit(0)).where("at is not null").select("at", "counts")).sum() == 0
+
+
+def test_working_tables_leave_no_shuffles(spark):
+    """A written table's shuffle files go at once, and the session's setting stays as it was."""
+    folders = lambda: [p for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).glob("*/shuffle_*.data")]
+    before, setting = set(folders()), spark.conf.get(CLEANUP, None)
+    table = Workspace(spark, "test").table("sums", spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count())
+    for _ in range(50):  # removed by another thread
+        if not (left := set(folders()) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP, None) == setting and table.count() == 1000
+
+
 def test_line_dedup_columns(spark):
     """Names that the operator uses itself pass through, and a name with a dot."""
     names = ["_id", "_t", "doc", "line", "row", "numbers", "may", "k1", "owner", "first", "a.b"]
@@ -564,3 +593,22 @@ def test_quality_columns(spark):
     df = spark.createDataFrame([(1, "Home\nContact us\nA first sentence of a text that goes on for some words.", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
     r = quality.clean_lines(df).first()
     assert [r[n] for n in names] == list(range(len(names))) and r.n_bad_lines == 2 and r.lost_words == 3
+
+
+def test_line_dedup_posts_triples():
+    """Lines that share pairs of common words only, no three in a row, share no token; those that link share as many as they must."""
+    words = np.array([line_dedup.mix(np.arange(1, 200, dtype=np.uint64))[k] for k in range(199)], np.uint64)
+    ranks = np.zeros(line_dedup.BUCKETS, np.uint64)
+    a, b = [*range(2, 42)], []
+    for k in range(2, 42, 2):
+        b += [k, k + 1, 100 + k]  # each second pair of a
+    post = lambda *lines: [line_dedup._posted(words[np.array(x)], np.array([len(x)]), ranks, 80, 3)[0] for x in lines]
+    x, y = post(a, b)
+    assert not set(x.tolist()) & set(y.tolist())
+    rng = np.random.default_rng(3)
+    for n in (6, 8, 12, 20, 33, 60):
+        edited = list(range(n))
+        for k in rng.choice(n, n // 5, replace=False):
+            edited[k] = 150 + int(k) % 40
+        x, y = post(list(range(n)), edited)
+        assert line_dedup.triples_from(80) <= n and len(set(x.tolist()) & set(y.tolist())) >= line_dedup._wanted(n)
