@@ -6,11 +6,19 @@ matched rows. Matching folds each image's boxes of a label in the JVM.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions.geometry import iou_sql
+from loomline.operators.run import written
+
+#: Blocks of a label's curve, for labels of more than BLOCK rows; and weights that a task holds at once.
+BLOCKS = 64
+BLOCK = 1 << 14
+STEP = 1 << 20
 
 _STATE = "struct<used:array<int>,out:array<struct<det_id:bigint,is_tp:boolean,ignored:boolean,gold_id:bigint>>>"
 
@@ -56,13 +64,132 @@ def average_precision(matched: DataFrame, n_pos: DataFrame, keys: list[str], ord
     upto = by.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = matched.join(n_pos, keys).withColumn("_w", w).where("_w > 0")
     rows = rows.withColumn("_tp", F.sum(F.when(F.col("is_tp"), F.col("_w")).otherwise(0)).over(upto)).withColumn("_all", F.sum("_w").over(upto))
-    rows = rows.withColumn("_best", F.max(F.col("_tp") / F.col("_all")).over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    later = W.partitionBy(*keys).orderBy(F.desc("_all")).rowsBetween(W.unboundedPreceding, W.currentRow)  # backwards: a frame that shrinks is summed anew for each row
+    rows = rows.withColumn("_best", F.max(F.col("_tp") / F.col("_all")).over(later))
     reached = lambda t: F.floor(100 * t / F.col("n_pos"))
     points = reached(F.col("_tp")) - reached(F.col("_tp") - F.col("_w")) + (F.col("_tp") == F.col("_w")).cast("int")
     sums = rows.where(F.col("is_tp") & (F.col("n_pos") > 0)).groupBy(*keys).agg((F.sum(points * F.col("_best")) / 101).alias("_ap"))
     return n_pos.join(sums, keys, "left").withColumn("ap", F.when(F.col("n_pos") > 0, F.coalesce("_ap", F.lit(0.0)))).drop("_ap")
 
 
+def reweighted_precision(matched: DataFrame, n_pos: DataFrame, order: list[str | Column], unit: list[str], weights: DataFrame) -> DataFrame:
+    """As ``average_precision`` by replicate and label of ``matched`` joined to ``weights`` (replicate, unit, weight), without a row for each replicate and row.
+
+    n_pos: (replicate, label, n_pos). order: descending score first. Replicates, units and labels are listed on the driver.
+    Each label's rows are sorted into blocks once. Counts of a block by unit give where each replicate stands before it;
+    one pass gives each block's best precision, the next one the sums, for all replicates at once.
+    """
+    spark = matched.sparkSession
+    listed = weights.select("replicate", F.to_json(F.struct(*unit)).alias("unit"), "weight").toArrow().to_pandas()
+    positives_ = n_pos.select("replicate", "label", "n_pos").toArrow().to_pandas()
+    replicates, names = (np.array(sorted(set(x))) for x in (positives_["replicate"], listed["unit"]))
+    of = np.zeros((len(replicates), len(names)), np.int64)
+    known = listed[listed["replicate"].isin(replicates)]
+    np.add.at(of, (np.searchsorted(replicates, known["replicate"]), np.searchsorted(names, known["unit"])), known["weight"].to_numpy())
+    need = {x: np.zeros(len(replicates)) for x in set(positives_["label"])}
+    for x, rows in positives_.groupby("label"):
+        need[x][np.searchsorted(replicates, rows["replicate"])] = rows["n_pos"]
+
+    places = spark.createDataFrame([(x, i) for i, x in enumerate(names.tolist())], "_unit string, _u int")
+    rows = matched.withColumn("_unit", F.to_json(F.struct(*unit))).join(F.broadcast(places), "_unit").join(F.broadcast(n_pos.select("label").distinct()), "label")
+    keep = written(spark)
+    rows = keep("rows", rows.select("label", "_u", "is_tp", *dict.fromkeys(order)))
+    bounds = {r.label: np.unique(r.bounds) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("score", [i / BLOCKS for i in range(1, BLOCKS)], 10_000).alias("bounds")).where(F.col("n") > BLOCK).collect()}
+
+    @F.arrow_udf("int")
+    def block(label: pa.Array, score: pa.Array) -> pa.Array:
+        """Higher scores have earlier blocks; no score, the last one."""
+        out, own, values = np.zeros(len(score), np.int32), np.array(label.to_pylist(), object), score.to_numpy(zero_copy_only=False)
+        for x, ends in bounds.items():
+            mine = own == x
+            out[mine] = len(ends) - np.searchsorted(ends, values[mine], "right")
+        return pa.array(np.where(score.is_null().to_numpy(zero_copy_only=False), BLOCKS, out).astype(np.int32))
+
+    def pack(batches):
+        now, held = None, ([], [])
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int32()), *(pa.array([np.concatenate(x)]) for x in held)], names=["label", "block", "units", "misses"])
+        for batch in batches:
+            own, at = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            units, hits = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            starts = [i for i in range(len(at)) if not i or at[i] != at[i - 1] or own[i] != own[i - 1]]
+            for i, z in zip(starts, [*starts[1:], len(at)]):
+                if now != (own[i], at[i]):
+                    if now is not None:
+                        yield done()
+                    now, held = (own[i], at[i]), ([], [])
+                held[0].append(units[i:z])
+                held[1].append(~hits[i:z])
+        if now is not None:
+            yield done()
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = rows.withColumn("block", block("label", "score")).repartition(tasks, "label", "block")
+    placed = placed.sortWithinPartitions("label", "block", F.desc("score"), *order[1:], F.desc("is_tp")).select("label", "block", "_u", "is_tp")
+    packed = placed.mapInArrow(pack, "label string, block int, units array<int>, misses array<boolean>")
+    packed = keep("curve", packed).repartition(tasks)  # small rows of much work
+
+    def count(batches):
+        for batch in batches:
+            found = [tuple(np.bincount(u, w, minlength=len(names)).astype(np.int64) for w in (None, hits)) for u, hits in map(_curve, batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k].tolist() for x in found], pa.list_(pa.int64())) for k in (0, 1))], names=["label", "block", "n", "tp"])
+
+    before: dict[tuple, tuple] = {}
+    at: dict[str, tuple] = {}
+    for r in sorted(packed.mapInArrow(count, "label string, block int, n array<long>, tp array<long>").collect(), key=lambda r: (r.label, r.block)):  # BLOCKS of each label at most
+        n, tp = at.get(r.label, (0, 0))
+        before[r.label, r.block] = n, tp
+        at[r.label] = n + np.array(r.n), tp + np.array(r.tp)
+
+    def sweep(row, step):
+        """(replicates, places) of a block with the found ones, the weights and the precision at its true positives."""
+        label, k, (units, hits) = row[0].as_py(), row[1].as_py(), _curve(row[2], row[3])
+        n, tp = (of @ np.broadcast_to(x, len(names)) for x in before[label, k])
+        spots = np.flatnonzero(hits)
+        upto = np.zeros((len(names), len(spots)))  # rows of each unit up to each true positive
+        seen = units[: spots[-1] + 1] if len(spots) else units[:0]
+        np.add.at(upto, (seen, np.searchsorted(spots, np.arange(len(seen)))), 1)
+        upto = np.cumsum(upto, axis=1)
+        each = max(1, step // max(1, len(spots)))
+        for a in range(0, len(replicates), each):
+            some = slice(a, a + each)
+            all_ = n[some, None] + of[some].astype(float) @ upto
+            w = of[some][:, units[spots]]
+            found = tp[some, None] + np.cumsum(w, axis=1)
+            yield some, found, w, np.where(w > 0, found / np.maximum(all_, 1), 0.0)
+
+    def best(batches):
+        for batch in batches:
+            for row in zip(*batch.columns):
+                most = np.concatenate([x.max(axis=1, initial=0.0) for *_, x in sweep(row, STEP)])
+                yield pa.RecordBatch.from_arrays([pa.array([row[0].as_py()]), pa.array([row[1].as_py()], pa.int32()), pa.array([most.tobytes()], pa.binary())], names=["label", "block", "most"])
+
+    after, top = {}, {}
+    for r in sorted(packed.mapInArrow(best, "label string, block int, most binary").collect(), key=lambda r: (r.label, -r.block)):
+        after[r.label, r.block] = top.get(r.label, np.zeros(len(replicates)))
+        top[r.label] = np.maximum(after[r.label, r.block], np.frombuffer(r.most))
+
+    def add(batches):
+        for batch in batches:
+            for row in zip(*batch.columns):
+                label, total = row[0].as_py(), np.zeros(len(replicates))
+                last = after[label, row[1].as_py()]
+                for some, found, w, precision in sweep(row, STEP):
+                    reached = np.maximum.accumulate(precision[:, ::-1], axis=1)[:, ::-1]
+                    n = need[label][some, None]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        points = np.floor(100 * found / n) - np.floor(100 * (found - w) / n) + (found == w)
+                    total[some] = np.where((w > 0) & (n > 0), points * np.maximum(reached, last[some, None]), 0.0).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(replicates), pa.array([label] * len(replicates)), pa.array(total)], names=["replicate", "label", "_s"])
+
+    sums = packed.mapInArrow(add, "replicate long, label string, _s double").groupBy("replicate", "label").agg((F.sum("_s") / 101).alias("_ap"))
+    return n_pos.join(sums, ["replicate", "label"], "left").withColumn("ap", F.when(F.col("n_pos") > 0, F.coalesce("_ap", F.lit(0.0)))).drop("_ap")
+
+
+def _curve(units: pa.Scalar, misses: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """A block's units and whether its rows are true positives."""
+    return units.values.to_numpy(), ~misses.values.to_numpy(zero_copy_only=False)
+
+
 def mean_average_precision(ap: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The mean over labels that have one, how many those are, and how many labels there are."""
     return ap.groupBy(*(keys or [])).agg(F.avg("ap").alias("map"), F.count("ap").alias("n_averaged"), F.count("*").alias("n_total"))

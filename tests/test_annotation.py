@@ -256,3 +256,28 @@ def test_query_against_sql(spark, name):
     a = sorted((tuple(_plain(r[c]) for c in sorted(got.columns)) for r in got.collect()), key=key)
     b = sorted((tuple(_plain(r[i]) for i in order) for r in want.fetchall()), key=key)
     assert a == b
+
+
+def test_average_precision_frames_grow(spark):
+    """No window frame that runs to a partition's end, which would be summed anew for each row."""
+    rows = spark.range(10).select(F.lit("x").alias("label"), (F.col("id") / 10).alias("score"), (F.col("id") % 3 == 0).alias("is_tp"))
+    ap = matching.average_precision(rows, spark.createDataFrame([("x", 5)], "label string, n_pos long"), ["label"], [F.desc("score")])
+    assert "unboundedfollowing" not in ap._jdf.queryExecution().optimizedPlan().toString().lower().replace(" ", "")
+    assert ap.first().ap == pytest.approx(sum(next((b for r, b in [(0.2, 0.5), (0.4, 0.5), (0.6, 0.5), (0.8, 0.4)] if r >= k / 100), 0.0) for k in range(101)) / 101, abs=0.2)
+
+
+def test_reweighted_precision(spark, monkeypatch):
+    """In many blocks, against a join of rows and replicates: ties, units that are never drawn, a label without predictions, one without positives."""
+    monkeypatch.setattr(matching, "BLOCK", 20)
+    rng = random.Random(4)
+    rows = [(i, rng.choice("xyz"), rng.randrange(5), rng.randrange(40) / 40, rng.random() < 0.4) for i in range(900)]
+    matched = spark.createDataFrame(rows, "det_id long, label string, sess long, score double, is_tp boolean").repartition(3)
+    weights = statistics.resample_weights(spark.range(5).withColumnRenamed("id", "sess"), "sess", 30, seed=1)
+    n_pos = weights.select("replicate").distinct().crossJoin(spark.createDataFrame([("x", 400), ("y", 200), ("z", 0), ("w", 7)], "label string, n_pos long"))
+    want = matching.average_precision(matched.join(weights, "sess"), n_pos, ["replicate", "label"], [F.desc("score"), "det_id"], "weight")
+    got = matching.reweighted_precision(matched, n_pos, ["score", "det_id"], ["sess"], weights)
+    one, other = ({(r.replicate, r.label): (r.n_pos, r.ap) for r in x.collect()} for x in (got, want))
+    assert one.keys() == other.keys() and len(one) == 120
+    for k, (n, ap) in other.items():
+        assert one[k][0] == n and (one[k][1] is None) == (ap is None) and (ap is None or one[k][1] == pytest.approx(ap, abs=1e-12))
+    assert matching.reweighted_precision(matched.limit(0), n_pos, ["score", "det_id"], ["sess"], weights).where("ap = 0").count() == 90
