@@ -342,7 +342,7 @@ def bootstrap_map(spark, sf_dir, n_resamples: int = 2000):
     d = detections(spark, sf_dir)
     weights = statistics.resample_weights(d, "sess", n_resamples, seed=0)
     n_pos = adapters.gold(d).groupBy("sess", "label").agg(F.count_if(~F.col("ignore")).alias("n")).join(weights, "sess").groupBy("replicate", "label").agg(F.sum(F.col("n") * F.col("weight")).alias("n_pos"))
-    ap = matching.average_precision(_curve_rows(spark, sf_dir).join(weights, "sess"), n_pos, ["replicate", "label"], _order(), weight="weight")
+    ap = matching.reweighted_precision(_curve_rows(spark, sf_dir), n_pos, ["score", *_order()[1:]], ["sess"], weights)
     maps = matching.mean_average_precision(ap, ["replicate"])
     return statistics.percentile_interval(maps, "map", n_resamples).select(_round("lo"), _round("hi"), "n_degenerate")
 
