@@ -59,6 +59,11 @@ def _macro(rows: DataFrame, n_pos: DataFrame, keys: list[str], weight: str | Non
     return matching.mean_average_precision(matching.average_precision(rows, n_pos, [*keys, "label"], [F.desc("score"), *_ORDER], weight), keys)
 
 
+def _reweighted(rows: DataFrame, n_pos: DataFrame, unit: list[str], weights: DataFrame) -> DataFrame:
+    """replicate, map, n_averaged, n_total."""
+    return matching.mean_average_precision(matching.reweighted_precision(rows, n_pos, ["score", *_ORDER], unit, weights), ["replicate"])
+
+
 def _copied(table: DataFrame, most: int) -> DataFrame:
     """Each row k times for each k up to ``most``, as k, with det_id of its own."""
     each = table.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -77,9 +82,9 @@ def interval(preds: DataFrame, gts: DataFrame, sessions: DataFrame, n_resamples:
         most = weights.agg(F.coalesce(F.max("weight"), F.lit(1))).head()[0]
         p, g = _copied(preds, most), _copied(gts, most)
         found = matching.match(p, g, ["k", *_KEYS], iou, max_dets).where("not ignored").join(p.select("det_id", "score", "sess", "x1", "y1", "x2", "y2"), "det_id")
-        drawn = _macro(found.join(weights.withColumnRenamed("weight", "k"), ["sess", "k"]), n_pos, ["replicate"])
+        drawn = _reweighted(found, n_pos, ["sess", "k"], weights.select("replicate", "sess", F.col("weight").cast("int").alias("k"), F.lit(1).cast("long").alias("weight")))
     else:
-        drawn = _macro(_rows(preds, gts, 0, iou).join(weights, "sess"), n_pos, ["replicate"], "weight")
+        drawn = _reweighted(_rows(preds, gts, 0, iou), n_pos, ["sess"], weights)
     return statistics.percentile_interval(drawn.where("map is not null"), "map", n_resamples)
 
 
@@ -130,9 +135,11 @@ def score(preds: DataFrame, gts: DataFrame, gold_frames: DataFrame, labels: Data
 
 def _paired_map(rows: DataFrame, n_pos: DataFrame, swaps: DataFrame) -> DataFrame:
     """(i, d): for each permutation, macro AP of one pool less that of the other. rows: of both systems (second: of b); a swap puts a session's rows into the other pool."""
-    pools = rows.join(swaps, "sess").withColumn("pool", F.when(F.col("second") != F.col("swapped"), 1).otherwise(0))
-    grid = swaps.select("i").distinct().withColumn("pool", F.explode(F.array(F.lit(0), F.lit(1))))
-    found = _macro(pools, grid.crossJoin(n_pos), ["i", "pool"])  # permutations by classes
+    each = swaps.withColumn("second", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("pool", (F.col("second") != F.col("swapped")).cast("int"))
+    place = lambda: (F.col("i") * 2 + F.col("pool")).cast("long").alias("replicate")
+    grid = swaps.select("i").distinct().withColumn("pool", F.explode(F.array(F.lit(0), F.lit(1)))).select(place())
+    found = _reweighted(rows, grid.crossJoin(n_pos), ["sess", "second"], each.select(place(), "sess", "second", F.lit(1).cast("long").alias("weight")))  # permutations by classes
+    found = found.withColumn("i", F.floor(F.col("replicate") / 2)).withColumn("pool", F.pmod("replicate", F.lit(2)))
     value = lambda k: F.max(F.when(F.col("pool") == k, F.col("map")))
     return found.groupBy("i").agg((value(0) - value(1)).alias("d"), value(0).alias("map_a"), value(1).alias("map_b"))
 
