@@ -176,3 +176,24 @@ def test_decode_boxes(spark):
     raw = spark.createDataFrame([("f", "test tube", 0.5, 0.5, 0.2, 0.2, 5.0, None, 100, 100), ("f", "test tube", 0.5, 0.5, 0.2, 0.2, 5.0, -5.0, 100, 100), ("f", "test tube", 0.0, 0.5, 0.02, 0.2, 5.0, 5.0, 100, 100)], "frame_id string, prompt string, cx double, cy double, w double, h double, logit double, presence_logit double, width int, height int")
     got = cascade.decode_boxes(raw).collect()
     assert len(got) == 1 and got[0].label == "test_tube" and (got[0].x1, got[0].x2) == (40.0, 60.0) and got[0].presence is None
+
+
+def test_tables_of_all_clips_are_not_broadcast(spark, tmp_path):
+    """Frames of chunks carry arrays that files hold in far fewer bytes."""
+    from loomline.functions.stand_ins import Detector, Propagator
+    from loomline.functions.vocabulary import vocabulary
+    from loomline.operators.run import run_clips, written
+    from loomline.plans import runs
+
+    seen = []
+
+    class Seen(Propagator):
+        def propagate(self, seeds):
+            seen.append(seeds)
+            return super().propagate(seeds)
+
+    clips = runs.manifest(spark, "/root/testdata/sf0.001").where("clip_id < 'clip0000004'")
+    done = run_clips(clips, vocabulary(spark), runs.SETTINGS, Detector((448, 448), hit_rate=0.85), Seen(), keep=written(spark))
+    for table in (*seen, done.summaries()):
+        assert "BroadcastHashJoin" not in table._jdf.queryExecution().executedPlan().toString()
+    assert done.summaries().count() == clips.count()
