@@ -612,3 +612,36 @@ def test_line_dedup_posts_triples():
             edited[k] = 150 + int(k) % 40
         x, y = post(list(range(n)), edited)
         assert line_dedup.triples_from(80) <= n and len(set(x.tolist()) & set(y.tolist())) >= line_dedup._wanted(n)
+
+
+def test_line_dedup_lists_speakers():
+    """Two groups of many lines that hold one token are compared once, by those who speak for them."""
+    k, edits = 300, 100 * 20 // 100
+    owner = lambda n, key: np.uint64(n) << np.uint64(52) | np.uint64(key)
+    rows = [(owner(100, 1 if i < k else 2).astype(np.int64), int(i >= k), (i % 5) << 12 | 100 + i % 3, *[0] * 16) for i in range(2 * k)]
+    part, cell = next(line_dedup.cells(np.full(2 * k, 7, np.uint64), np.arange(2 * k), np.array(rows, np.int64), 1))
+    batch = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([cell], pa.binary())], names=["part", "cell"])
+    got = [r for b in line_dedup._across(80)([batch]) for r in b.to_pylist()]
+    assert [(r["u"], r["v"], r["slack"]) for r in got] == [(int(owner(100, 1)), int(owner(100, 2)), edits + 4 + 4)]
+
+
+def test_line_dedup_far_members(spark):
+    """Groups link by lines far from those who speak for them; lines of over 120 words too, and not those that are one edit too far."""
+    rng, texts = np.random.default_rng(4), []
+    for n, name in ((30, "a"), (160, "b"), (40, "c")):
+        base, e = [f"{name}{i}" for i in range(n)], n // 5
+        moved = lambda far: [f"{name}x{i}" if i < far else w for i, w in enumerate(base)]  # noqa: E731, B023
+        ends = [moved(0), moved(3 * e - (name != "c"))]
+        for end in ends:
+            for _ in range(8):
+                copy = list(end)
+                copy[n - 1 - int(rng.integers(e))] = f"{name}{rng.integers(10**6)}"
+                texts.append(" ".join(copy))
+        texts += [" ".join(x) for x in (*ends, moved(e), moved(2 * e + (name == "c")))]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    want = _linked_lines(texts)
+    assert len(texts) - len(want) == 4
+    for i in range(len(texts)):
+        assert (got[i].removed_lines or []) == want.get(i, [])
