@@ -163,6 +163,45 @@ def test_stitching(spark):
     assert {(r.clip, r.track_id) for r in named.collect()} == {("clip one", i) for i in (1, 2, 3)}
 
 
+def _stitched(parts, limit):
+    """Tracks of one clip's parts (label, chunk, place, fragmentation, points) by a plain loop."""
+    found = []
+    for label, chunk, place, frag, points in sorted(parts, key=lambda x: (x[1], x[2])):
+        own = {p[0]: p[1:5] for p in points}
+        for t in found:
+            if t["label"] == label and any(_overlap(t["points"][f], own[f]) >= limit for f in t["points"].keys() & own.keys()):
+                t["points"], t["chunks"], t["frag"] = own | t["points"], t["chunks"] | {chunk}, [*t["frag"], frag]
+                break
+        else:
+            found.append({"label": label, "points": own, "chunks": {chunk}, "frag": [frag]})
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    return {i + 1: (t["label"], sorted(t["chunks"]), mean([x for x in t["frag"] if x is not None]), sorted((f, *b) for f, b in t["points"].items())) for i, t in enumerate(found)}
+
+
+def _overlap(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h) if w > 0 and h > 0 else 0.0
+
+
+def test_stitching_of_many_clips_against_a_loop(spark):
+    draw, rows, clips = random.Random(5), [], {}
+    for clip in (*range(60), None):
+        for place in range(draw.choice([1, 3, 40])):
+            frames = [draw.randrange(12) for _ in range(draw.choice([0, 1, 6]))]  # some twice
+            points = [(f, x := draw.randrange(30) / 2, 0.0, x + 10, 10.0, 0.5) for f in frames]
+            part = (draw.choice(["a", "b", None]), draw.randrange(4), place, draw.choice([None, draw.random()]), points)
+            clips.setdefault(clip, []).append(part)
+            rows.append((clip, *part[:3], "h", *part[3:]))
+    parts = spark.createDataFrame(rows, "clip long, label string, chunk int, place int, box_source string, fragmentation double, points array<struct<frame:long,x1:double,y1:double,x2:double,y2:double,score:double>>")
+    for limit in (0.5, 0.0):
+        got = {}
+        found = tracks.stitch(parts.repartition(3), limit)
+        for r in found.collect():
+            got.setdefault(r.clip, {})[r.track_id] = (r.label, r.chunk_ids, r.fragmentation, [tuple(p)[:5] for p in r.points])
+        assert got == {clip: _stitched(own, limit) for clip, own in clips.items()}
+    assert "Pandas" not in found._jdf.queryExecution().toString()  # a call for each clip and label takes minutes
+
+
 def test_formats(spark, tmp_path):
     doc = tmp_path / "coco.json"
     doc.write_text('{"images": [{"id": 1, "file_name": "a", "width": 640, "height": 480}, {"id": 2, "file_name": "b", "width": 640, "height": 480}], "categories": [{"id": 1, "name": "x"}, {"id": 2, "name": "y"}], '

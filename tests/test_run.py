@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.stand_ins import Classifier, Detector, Propagator
 from loomline.functions.vocabulary import CLASSES, vocabulary
-from loomline.operators import cascade, labels
+from loomline.operators import cascade, labels, run
 from loomline.operators.run import run_clips, written
 from loomline.plans.config import Settings
 from loomline.sources import formats
@@ -197,3 +197,10 @@ def test_tables_of_all_clips_are_not_broadcast(spark, tmp_path):
     for table in (*seen, done.summaries()):
         assert "BroadcastHashJoin" not in table._jdf.queryExecution().executedPlan().toString()
     assert done.summaries().count() == clips.count()
+
+
+def test_draws_are_computed_once_and_clips_are_dealt(spark):
+    planned = run.planned(clips(spark, 40), vocabulary(spark), SETTINGS)
+    found = run._ask(run.written(spark)("clips", planned), Detector((448, 448)))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 10
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
