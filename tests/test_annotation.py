@@ -202,6 +202,21 @@ def test_stitching_of_many_clips_against_a_loop(spark):
     assert "Pandas" not in found._jdf.queryExecution().toString()  # a call for each clip and label takes minutes
 
 
+def test_appearances_against_a_loop(spark):
+    draw = random.Random(7)
+    rows = [(i % 180, draw.choice([1, 2, None]), draw.choice(["a", "b", None]), draw.choice([*range(0, 40, 3), None]), x := draw.randrange(12) * 2.0, 0.0, x + 10 if draw.random() < 0.9 else None, 10.0) for i in range(200)]
+    dets = spark.createDataFrame(rows, "det_id long, clip long, label string, frame_ordinal int, x1 double, y1 double, x2 double, y2 double")
+    place = {c: {f: i for i, f in enumerate(sorted({r[3] for r in rows if r[1] == c and r[3] is not None}))} for c in (1, 2)}
+    met = {}
+    for a in rows:
+        for b in rows:
+            if None not in (*a[1:4], *b[1:4], a[6], b[6]) and a[1:3] == b[1:3] and 0 < abs(place[a[1]][a[3]] - place[b[1]][b[3]]) <= 3 and _overlap(a[4:], b[4:]) >= 0.5:
+                met.setdefault(a[0], set()).add(b[3])
+    found = cascade.temporal_consistency(dets)
+    assert sorted((r.det_id, r.appearances) for r in found.collect()) == sorted((r[0], 1 + len(met.get(r[0], ()))) for r in rows)
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()  # seven rows of each detection, and one of each pair
+
+
 def test_formats(spark, tmp_path):
     doc = tmp_path / "coco.json"
     doc.write_text('{"images": [{"id": 1, "file_name": "a", "width": 640, "height": 480}, {"id": 2, "file_name": "b", "width": 640, "height": 480}], "categories": [{"id": 1, "name": "x"}, {"id": 2, "name": "y"}], '
